@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, simhash
+from . import decontam, packing, pii, quality, simhash
 from .common import table
 
 
@@ -28,11 +28,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
