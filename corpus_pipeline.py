@@ -8,8 +8,6 @@ matching, byte-level BPE), so ``ORACLE_SQL`` is None and the tests hold ``run``
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from labeldates.llm import common, decontam, packing, pii, quality, simhash
 
@@ -20,13 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one document stays: that of smallest id, of its repeated rows the one of smallest text.
-    Documents without an id stay where no document of their component has one."""
-    found = simhash.near_duplicates(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    alone = found.groupBy("__id", "__root").agg(F.min("__fp").alias("__fp"))
-    kept = docs.join(alone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    one = Window.partitionBy("__root").orderBy(F.col("text").asc_nulls_last())
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[kept[c] for c in docs.columns])
+    """Of each component one document stays."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -54,13 +55,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        found = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype="<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """``doc_id``, a hash of the text by which its row can be found again, and the fingerprint as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 class Forest:
@@ -203,7 +205,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` (signed long), ``root`` (fingerprint that names its component) and
+    """One row per document: ``doc_id``, ``text_hash``, ``fp`` (signed long), ``root`` (fingerprint that names its component) and
     ``component_id`` (smallest ``doc_id`` of the component)."""
     rows = common.stash(fingerprints(docs), "fingerprints")
     fps = common.stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
@@ -211,3 +213,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     tied = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     named = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rows.join(tied.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each component the row of smallest id stays (of its
+    smallest text hash, where an id has several texts), once."""
+    found = near_duplicates(docs, radius)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select(F.col("root").alias("__root"), F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    once = Window.partitionBy("__root").orderBy("__hash")
+    return docs.join(kept, same).withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[docs[c] for c in docs.columns])
