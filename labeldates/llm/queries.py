@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality, simhash
-from .common import table
+from . import decontam, packing, pii, quality, rollups, simhash, topk
+from .common import fresh_path, stash, table
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,16 +33,44 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in with a provisional count (a quarter of their characters), which is then revised to the
+    tokenizer's; the revision is sent twice. Documents without text are deleted again."""
+    exact = stash(rollups.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k"), "token-counts")
+    provisional = exact.withColumn("tokens", F.ceil(F.col("chars") / 4).cast("long"))
+    held = rollups.Rollup(spark, fresh_path(spark, "rollup"))
+    held.commit("load", rollups.inserts(provisional))
+    for _ in range(2):
+        held.commit("revise", rollups.revisions(provisional, exact))
+    held.commit("withdraw", rollups.deletes(exact.where("chars = 0")))
+    return held.totals()
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_token_rollups": op7_token_rollups,
     "op9_pii": op9_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+        ) WHERE rank <= 5
+    """,
+}
