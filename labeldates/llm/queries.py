@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality, rollups, simhash, topk
+from . import decontam, packing, pii, quality, rollups, secrets, simhash, topk
 from .common import fresh_path, stash, table
 
 
@@ -46,6 +46,10 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.totals()
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
     "op7_token_rollups": op7_token_rollups,
+    "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
 }
 
