@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality, rollups, secrets, simhash, topk
+from . import decontam, packing, pii, quality, rollups, secrets, simhash, topk, warc
 from .common import fresh_path, stash, table
 
 
@@ -28,6 +28,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_token_rollups": op7_token_rollups,
     "op8_secrets": op8_secrets,
@@ -78,4 +84,20 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
         ) WHERE rank <= 5
     """,
+    # A SHA-1 of 40 hexadecimal digits is 32 base32 digits: every 5 of the one make 4 of the other.
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda g:
+                array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * g + 1)::INT, 5))::BIGINT >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest
+            FROM p
+        ), m AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to
+        FROM m
+    """,
 }
