@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality, rollups, secrets, simhash, topk, warc
+from . import decontam, extract, packing, pii, quality, rollups, secrets, simhash, topk, warc
 from .common import fresh_path, stash, table
 
 
@@ -59,6 +59,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
@@ -69,6 +73,7 @@ QUERIES = {
     "op7_token_rollups": op7_token_rollups,
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
