@@ -197,6 +197,8 @@ def blocks(page: str, known: dict | None = None) -> list[Block]:
         if tag == "a":
             own |= BIT["link"]
         _, roles, near = stack[-1]
+        if tag == "header" and roles & GOOD:  # a header inside an article heads the article, not the site
+            own &= ~BIT["header"]
         if m[3].endswith("/") and inline:
             continue
         stack.append((tag, roles | own, own & (GOOD | BAD) or near))
