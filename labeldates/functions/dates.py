@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Policy
+from .spans import bind
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 MONTH = "(" + "|".join(MONTHS) + ")"
@@ -68,10 +69,10 @@ def resolve_two_digit(a: Column, m: Column, c: Column, hint: Column, policy: Pol
     Where both are: what the label says, else the order of the likelier year by the flip ratio, else year first.
     """
     first, last = two_digit_year(a), two_digit_year(c)
-    ymd, dmy = valid(first, m, c, policy), valid(last, m, a, policy)
     flip = (hint.eqNullSafe(F.lit("dmy"))) | (hint.isNull() & day_first_is_likelier(first, last, policy))
     as_ymd, as_dmy = date_struct(first, m, c), date_struct(last, m, a)
-    return F.when(ymd & dmy, F.when(flip, as_dmy).otherwise(as_ymd)).when(ymd, as_ymd).when(dmy, as_dmy)
+    both = F.struct(valid(first, m, c, policy).alias("ymd"), valid(last, m, a, policy).alias("dmy"))
+    return bind(both, lambda ok: F.when(ok["ymd"] & ok["dmy"], F.when(flip, as_dmy).otherwise(as_ymd)).when(ok["ymd"], as_ymd).when(ok["dmy"], as_dmy))
 
 
 def text_of(y: Column, m: Column, d: Column) -> tuple[Column, Column, Column, Column]:

@@ -79,6 +79,11 @@ def drop_overlaps(candidates: Column, kind: str) -> Column:
     )
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once: lambda bodies have no common-subexpression elimination."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first(array: Column) -> Column:
     """The first element, null if there is none."""
     return F.get(array, F.lit(0))

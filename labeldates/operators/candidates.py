@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Policy
 from ..functions import dates
 from ..functions.dates import MONTH, as_int, month_number, valid
-from ..functions.spans import cut, drop_overlaps, spans
+from ..functions.spans import bind, cut, drop_overlaps, first, spans
 
 KIND = "array<struct<start:int,end:int,y:int,m:int,d:int>>"
 
@@ -89,12 +89,11 @@ def plain(text: Column, n: Notation, policy: Policy = DEFAULT, two_digits: bool
     """Candidates of a notation whose groups say which part is which."""
 
     def make(s: Column) -> Column:
-        y, m, d = _numbers(s, n, two_digits)
-        ok = valid(y, m, d, policy)
+        fine = F.lit(True)
         if n is MON_D_Y2:  # "Nov 2021" is a month and a year
             joined = as_int(F.concat(_part(s, n, "d"), _part(s, n, "y")))
-            ok = ok & ~((F.length(_part(s, n, "s")) == 0) & joined.between(policy.year_min, policy.year_max))
-        return F.when(ok, dates.date_struct(y, m, d))
+            fine = ~((F.length(_part(s, n, "s")) == 0) & joined.between(policy.year_min, policy.year_max))
+        return bind(dates.date_struct(*_numbers(s, n, two_digits)), lambda x: F.when(valid(x["y"], x["m"], x["d"], policy) & fine, x))
 
     return _by(text, n, make)
 
@@ -169,5 +168,5 @@ def month_and_day(text: Column, policy: Policy = DEFAULT) -> Column:
         part = cut(text, p["start"] - policy.month_day_window, p["end"] + policy.month_day_window)
         return F.when(part.rlike(pattern), F.struct(as_int(F.regexp_extract(part, pattern, 1)).alias("m"), as_int(F.regexp_extract(part, pattern, 2)).alias("d")))
 
-    found = F.get(F.filter(F.transform(ordered, within), lambda x: x.isNotNull()), F.lit(0))
+    found = first(F.filter(F.transform(ordered, within), lambda x: x.isNotNull()))
     return F.when(text.rlike(pattern), found)

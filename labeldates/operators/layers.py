@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Policy
 from ..functions import dates, textnorm
 from ..functions.dates import MONTH, as_int, month_number, valid
-from ..functions.spans import around, cut, first, first_of, flagged, has_any, has_exact, spans
+from ..functions.spans import around, bind, cut, first, first_of, flagged, has_any, has_exact, spans
 from . import candidates as cand
 from . import choose
 
@@ -140,12 +140,12 @@ def lone_month_day(text: Column, policy: Policy = DEFAULT) -> Column:
         return F.when(~has_exact(context, OTHER_DECIMALS), F.struct(score.alias("score"), (-s["start"]).alias("at"), as_int(s["g1"]).alias("m"), as_int(s["g2"]).alias("d")))
 
     best = F.array_max(F.filter(F.transform(spans(text, LONE_MONTH_DAY, 2), make), lambda x: x.isNotNull()))
-    return F.when(best.isNotNull(), dates.date_struct(F.lit(None), best["m"], best["d"]))
+    return bind(best, lambda x: F.when(x.isNotNull(), dates.date_struct(F.lit(None), x["m"], x["d"])))
 
 
 def _via(date: Column, via: str) -> Column:
     none = F.lit(None).cast("string")
-    return F.when(date.isNotNull(), F.struct(date["y"].alias("y"), date["m"].alias("m"), date["d"].alias("d"), none.alias("kind"), none.alias("raw"), F.lit(via).alias("via")))
+    return bind(date, lambda x: F.when(x.isNotNull(), F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d"), none.alias("kind"), none.alias("raw"), F.lit(via).alias("via"))))
 
 
 def read_dates(df: DataFrame, text: str = "text", crop: str | Column | bool = False, rescue: bool = True, out: str = "answer", policy: Policy = DEFAULT) -> DataFrame:
