@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 NONE = "NONE"
 DONE = "완료"
@@ -18,9 +18,9 @@ class Policy:
     year_max: int = 2035
     flip_ratio: float = 6.0
     # How likely a year is on a label; other years get ``prior_floor``. Fixed values.
-    year_prior: dict[int, float] = field(default_factory=lambda: {
-        2019: 0.0094, 2020: 0.0499, 2021: 0.3900, 2022: 0.2051, 2023: 0.0526, 2024: 0.0067, 2025: 0.0513, 2026: 0.1849, 2027: 0.0418, 2028: 0.0081,
-    })
+    year_prior: tuple[tuple[int, float], ...] = (
+        (2019, 0.0094), (2020, 0.0499), (2021, 0.3900), (2022, 0.2051), (2023, 0.0526), (2024, 0.0067), (2025, 0.0513), (2026, 0.1849), (2027, 0.0418), (2028, 0.0081),
+    )
     prior_floor: float = 0.002
     distribution_date_counts: bool = True
     relative_as_none: bool = False

@@ -37,7 +37,7 @@ def month_number(name: Column) -> Column:
 
 
 def year_prior(y: Column, policy: Policy = DEFAULT) -> Column:
-    table = F.create_map(*[F.lit(x) for k, v in policy.year_prior.items() for x in (k, v)])
+    table = F.create_map(*[F.lit(x) for k, v in policy.year_prior for x in (k, v)])
     return F.coalesce(F.try_element_at(table, y), F.lit(policy.prior_floor))
 
 

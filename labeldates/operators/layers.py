@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,25 +150,14 @@ def _via(date: Column, via: str) -> Column:
     return bind(date, lambda x: F.when(x.isNotNull(), F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d"), none.alias("kind"), none.alias("raw"), F.lit(via).alias("via"))))
 
 
-def read_dates(df: DataFrame, text: str = "text", crop: str | Column | bool = False, rescue: bool = True, out: str = "answer", policy: Policy = DEFAULT) -> DataFrame:
-    """``df`` with a struct column ``out``: ``y, m, d, kind, raw, via``; null where the text prints no date.
+@lru_cache(maxsize=32)
+def _steps(application: str, out: str, rescue: bool, policy: Policy) -> tuple[tuple[tuple[str, Column], ...], Column]:
+    """The columns that lead from ``text`` and ``crop`` to the answer, each built on those before it, and the answer.
 
-    ``crop`` (a column's name, a column or a constant) says that a detector has already found the text to be a date
-    region: due words are then not asked for. ``rescue`` allows a lone month and day. The steps are columns of their own,
-    so that each is computed once and later ones only for rows without an answer; no row moves.
+    Building them takes thousands of calls into the JVM, so they are kept for an application's later queries.
     """
-    is_crop = F.lit(crop) if isinstance(crop, bool) else F.coalesce(F.col(crop) if isinstance(crop, str) else crop, F.lit(False))
     name = lambda x: f"__{out}_{x}"
     c = lambda x: F.col(name(x))
-    raw = textnorm.ascii_digits(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    before = df.columns
-    step = df.withColumns({name("text"): raw, name("crop"): is_crop}).withColumn(name("alias"), textnorm.aliased(c("text")))
-    step = step.withColumn(name("dates"), cand.full_dates(c("alias"), policy)).withColumn(name("base"), choose.base_answer(c("alias"), c("dates"), policy))
-    step = step.withColumn(name("early"), F.coalesce(c("base"), _via(month_year_at_marker(c("alias"), policy), "gap_fill_month_year_strong")))
-    step = step.withColumn(name("fixed"), F.when(c("early").isNull(), textnorm.repaired(c("alias"))))
-    step = step.withColumn(name("dates"), F.when(c("fixed") != c("alias"), cand.full_dates(c("fixed"), policy)))
-    again = choose.base_answer(c("fixed"), c("dates"), policy)
-    step = step.withColumn(name("again"), F.when(c("early").isNull() & (c("fixed") != c("alias")), again))
     texts = F.array_distinct(F.array(c("fixed"), c("alias"), c("text")))
     readings = [
         (lambda t: glued_day_month_year(t, policy), "gap_fill_compact_dmy"), (lambda t: glued_numbers(t, c("crop"), policy), "gap_fill_compact_numeric"), (lambda t: spaced_year_first(t, c("crop"), policy), "gap_fill_space_ymd"),
@@ -174,10 +165,31 @@ def read_dates(df: DataFrame, text: str = "text", crop: str | Column | bool = Fa
     ]
     if rescue:
         readings.append((lambda t: lone_month_day(t, policy), "partial_rescue"))
+    open_ = c("early").isNull()
+    steps = (
+        ("alias", textnorm.aliased(c("text"))), ("dates", cand.full_dates(c("alias"), policy)), ("base", choose.base_answer(c("alias"), c("dates"), policy)),
+        ("early", F.coalesce(c("base"), _via(month_year_at_marker(c("alias"), policy), "gap_fill_month_year_strong"))), ("fixed", F.when(open_, textnorm.repaired(c("alias")))),
+        ("more", F.when(c("fixed") != c("alias"), cand.full_dates(c("fixed"), policy))), ("again", F.when(open_ & (c("fixed") != c("alias")), choose.base_answer(c("fixed"), c("more"), policy))),
+    )
     later = F.coalesce(*[_via(first_of(texts, DATE, f), via) for f, via in readings])
     repaired = F.when(c("again").isNotNull(), c("again").withField("via", F.lit("ocr_normalized")))
-    answer = F.when(c("early").isNotNull(), c("early")).otherwise(F.coalesce(repaired, F.when(c("fixed").rlike(r"(?U)\d"), later)))
-    return step.withColumn(out, answer).select(*[F.col(f"`{x}`") for x in before if x != out], out)
+    answer = F.when(~open_, c("early")).otherwise(F.coalesce(repaired, F.when(c("fixed").rlike(r"(?U)\d"), later)))
+    return tuple((name(n), x) for n, x in steps), answer
+
+
+def read_dates(df: DataFrame, text: str = "text", crop: str | Column | bool = False, rescue: bool = True, out: str = "answer", policy: Policy = DEFAULT) -> DataFrame:
+    """``df`` with a struct column ``out``: ``y, m, d, kind, raw, via``; null where the text prints no date.
+
+    ``crop`` (a column's name, a column or a constant) says that a detector has already found the text to be a date
+    region: due words are then not asked for. ``rescue`` allows a lone month and day. The steps are columns of their own,
+    so that each is computed once and later ones only for rows without an answer; no row moves.
+    """
+    is_crop = F.lit(crop) if isinstance(crop, bool) else F.coalesce(F.col(crop) if isinstance(crop, str) else crop, F.lit(False))
+    steps, answer = _steps(df.sparkSession.sparkContext.applicationId, out, rescue, policy)
+    step = df.withColumns({f"__{out}_text": textnorm.ascii_digits(F.coalesce(F.col(text).cast("string"), F.lit(""))), f"__{out}_crop": is_crop})
+    for name, column in steps:
+        step = step.withColumn(name, column)
+    return step.withColumn(out, answer).select(*[F.col(f"`{x}`") for x in df.columns if x != out], out)
 
 
 def submission(df: DataFrame, key: str = "image_id", answer: str = "answer") -> DataFrame:

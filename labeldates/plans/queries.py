@@ -60,7 +60,7 @@ def read_back(template: str, crop: bool = False, other: Callable[[Column], Colum
 
 
 DAYS = f"WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate + INTERVAL {SHIFT} MONTH AS DATE) AS day FROM lineitem), p AS (SELECT l_orderkey, l_linenumber, day, year(day)::INTEGER AS y, month(day)::INTEGER AS m, day(day)::INTEGER AS d FROM s)"
-PRIOR = "prior(y, p) AS (VALUES " + ", ".join(f"({y}, {p}::DOUBLE)" for y, p in DEFAULT.year_prior.items()) + ")"
+PRIOR = "prior(y, p) AS (VALUES " + ", ".join(f"({y}, {p}::DOUBLE)" for y, p in DEFAULT.year_prior) + ")"
 
 
 def same(extra: str = "y, m, d") -> str:
