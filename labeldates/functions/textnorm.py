@@ -12,27 +12,31 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import bind
+
 WIDE_SPACE = "　"
 FULL_WIDTH_DIGITS = "".join(chr(0xFF10 + i) for i in range(10))
 
 
 def unify_terms(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "사용기한", "소비기한"), "품질유지기한", "소비기한")
+    return F.replace(F.replace(text, F.lit("사용기한"), F.lit("소비기한")), F.lit("품질유지기한"), F.lit("소비기한"))
 
 
 def blank_maker_words(text: Column) -> Column:
     """Compounds of 제조 that name no date, as as many wide spaces."""
-    return F.regexp_replace(F.regexp_replace(text, "제조(?:번호|회사|공장|업체)", WIDE_SPACE * 4), "제조(?:원|국|사)", WIDE_SPACE * 3)
+    blanked = F.regexp_replace(F.regexp_replace(text, "제조(?:번호|회사|공장|업체)", WIDE_SPACE * 4), "제조(?:원|국|사)", WIDE_SPACE * 3)
+    return F.when(F.instr(text, "제조") > 0, blanked).otherwise(text)
 
 
 def blank_clock_times(text: Column) -> Column:
     """Times that stand by themselves, as as many spaces."""
     before, after = r"(?U)(?<![\d.\-/:])", r"(?![\d.\-/:])"
-    return F.regexp_replace(F.regexp_replace(text, before + r"\d\d:\d\d" + after, " " * 5), before + r"\d:\d\d" + after, " " * 4)
+    blanked = F.regexp_replace(F.regexp_replace(text, before + r"\d\d:\d\d" + after, " " * 5), before + r"\d:\d\d" + after, " " * 4)
+    return F.when(F.instr(text, ":") > 0, blanked).otherwise(text)
 
 
 def aliased(text: Column) -> Column:
-    return blank_clock_times(blank_maker_words(unify_terms(text)))
+    return bind(bind(unify_terms(text), blank_maker_words), blank_clock_times)
 
 
 def ascii_digits(text: Column) -> Column:
@@ -73,7 +77,8 @@ def compatibility_form(text: Column) -> Column:
     # The longer forms as one string, each followed by a line feed, found by the position of its character.
     forms = F.split(F.lit("\n".join(many.values())), "\n")
     spread = F.array_join(F.transform(F.split(out, ""), lambda c: F.when(F.instr(F.lit(long), c) > 0, F.get(forms, F.instr(F.lit(long), c) - 1)).otherwise(c)), "")
-    return F.when(~text.rlike(odd), text).otherwise(F.when(out.rlike(odd), spread).otherwise(out))
+    # Most texts have nothing but ASCII and Hangul: one cheap search tells.
+    return F.when(~text.rlike("[^\\x00-\\x7F가-힣]"), text).when(~text.rlike(odd), text).otherwise(F.when(out.rlike(odd), spread).otherwise(out))
 
 
 # Characters that a recognizer takes for digits, and those digits. Fixed values.
@@ -96,7 +101,7 @@ def dots_for_colons(text: Column) -> Column:
 
 
 def repaired(text: Column) -> Column:
-    return dots_for_colons(digits_for_confusions(compatibility_form(text)))
+    return bind(bind(compatibility_form(text), digits_for_confusions), dots_for_colons)
 
 
 def padded(text: Column, width: int) -> Column:

@@ -151,12 +151,12 @@ def near_keywords(text: Column, policy: Policy = DEFAULT) -> Column:
 def full_dates(text: Column, policy: Policy = DEFAULT) -> Column:
     """All candidates, in text order, without overlaps."""
     hint = dates.order_hint(text)
-    every = [plain(text, n, policy) for n in (YMD, YMD_LOOSE_DAY, KOREAN, D_MON_Y4, MON_D_Y4, Y4_MON_D, DM_Y4)]
-    every += [plain(text, n, policy, True) for n in (D_MON_Y2, MON_D_Y2)]
-    every += [ambiguous(text, n, hint, policy) for n in (Y2_MD, Y2_MD_LOOSE_DAY)]
-    every += [year_month_name_day(text, hint, policy), near_keywords(text, policy)]
-    found = drop_overlaps(F.concat(*every), KIND)
-    return F.when(text.rlike(r"(?U)\d"), found).otherwise(F.array().cast(KIND))
+    none = F.array().cast(KIND)
+    numeric = F.concat(*[plain(text, n, policy) for n in (YMD, YMD_LOOSE_DAY, DM_Y4)], *[ambiguous(text, n, hint, policy) for n in (Y2_MD, Y2_MD_LOOSE_DAY)], near_keywords(text, policy))
+    named = F.concat(*[plain(text, n, policy) for n in (D_MON_Y4, MON_D_Y4, Y4_MON_D)], *[plain(text, n, policy, True) for n in (D_MON_Y2, MON_D_Y2)], year_month_name_day(text, hint, policy))
+    # A search for what a group of notations cannot do without spares the others their own.
+    every = F.concat(numeric, F.when(F.instr(text, "년") > 0, plain(text, KOREAN, policy)).otherwise(none), F.when(text.rlike("(?i)" + MONTH), named).otherwise(none))
+    return F.when(text.rlike(r"(?U)\d"), drop_overlaps(every, KIND)).otherwise(none)
 
 
 def month_and_day(text: Column, policy: Policy = DEFAULT) -> Column:

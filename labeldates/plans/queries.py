@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import dates, textnorm
 from ..functions.spans import bind
+
 from ..imaging import TextProvider, stage_texts
+from ..lineage import spread
 from ..operators import candidates, cascade, choose, evaluation, geometry, layers, quality, sampling
 from ..operators.layers import read_dates
 from ..sources import images as image_source
@@ -42,7 +44,7 @@ def query(name: str, sql: str | None = None):
 
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(*KEYS, F.add_months(F.col("l_shipdate").cast("date"), SHIFT).alias("day"))
+    return spread(table(spark, sf_dir, "lineitem").select(*KEYS, F.add_months(F.col("l_shipdate").cast("date"), SHIFT).alias("day")))
 
 
 def parts(df: DataFrame, *keys: str) -> DataFrame:
@@ -122,10 +124,10 @@ query("q_c2_month_split", SPLIT)(read_back("EXP {Y}.{M}"))
 query("q_l8_colon", SPLIT)(read_back("유효기간 {Y}:{M} 제품"))
 query("q_l8_month_first", same("y, m, NULL::INTEGER AS d"))(read_back("유효기간 {M}/{Y}"))
 query("q_v1_implausible_bare", "SELECT l_orderkey, l_linenumber, NULL::INTEGER AS y, NULL::INTEGER AS m, NULL::INTEGER AS d FROM lineitem")(
-    lambda spark, sf_dir: parts(read_dates(table(spark, sf_dir, "lineitem").select(*KEYS, notation.label("{Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
+    lambda spark, sf_dir: parts(read_dates(spread(table(spark, sf_dir, "lineitem")).select(*KEYS, notation.label("{Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
 )
 query("q_v1_implausible_labelled", "SELECT l_orderkey, l_linenumber, NULL::INTEGER AS y, month(l_shipdate)::INTEGER AS m, day(l_shipdate)::INTEGER AS d FROM lineitem")(
-    lambda spark, sf_dir: parts(read_dates(table(spark, sf_dir, "lineitem").select(*KEYS, notation.label("유통기한 {Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
+    lambda spark, sf_dir: parts(read_dates(spread(table(spark, sf_dir, "lineitem")).select(*KEYS, notation.label("유통기한 {Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
 )
 
 
