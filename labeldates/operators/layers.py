@@ -189,7 +189,9 @@ def read_dates(df: DataFrame, text: str = "text", crop: str | Column | bool = Fa
     step = df.withColumns({f"__{out}_text": textnorm.ascii_digits(F.coalesce(F.col(text).cast("string"), F.lit(""))), f"__{out}_crop": is_crop})
     for name, column in steps:
         step = step.withColumn(name, column)
-    return step.withColumn(out, answer).select(*[F.col(f"`{x}`") for x in df.columns if x != out], out)
+    # A filter on the answer would be pushed below it, with a copy of the whole reading for each mention, and those of
+    # copies again. No filter on what a generator makes is pushed below the generator; one on other columns still is.
+    return step.select(*[F.col(f"`{x}`") for x in df.columns if x != out], F.explode(F.array(answer)).alias(out))
 
 
 def submission(df: DataFrame, key: str = "image_id", answer: str = "answer") -> DataFrame:

@@ -19,7 +19,7 @@ def _glob(suffixes: tuple[str, ...]) -> str:
 
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = BATCH_SUFFIXES, recursive: bool = False, content: bool = True) -> DataFrame:
     """``image_id, path, length`` and, if asked for, ``content``. The glob goes to the file listing; without ``content`` no
-    file is opened."""
+    file is opened. Spark's file sources pass over files of no bytes: to have rows for them, give their ids apart."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffixes)).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.select(file_stem(F.col("path")).alias("image_id"), "path", "length", "modificationTime", *(["content"] if content else []))
 
