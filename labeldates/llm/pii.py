@@ -179,6 +179,7 @@ def train(copies: int = 12) -> crf.Crf:
     return model
 
 
+CARD_GROUPS = re.compile(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}")
 WRITTEN_OUT = re.compile(r"[\w.+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
 _WORD = re.compile(r"\S+")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'|*#$%&,;:!?[{<", "\"'|*#$%&,;:!?.]}>"
@@ -224,7 +225,7 @@ def pieces(kind: str, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
     if kind == "email":
         return [(kind, a + m.start(), a + m.end()) for m in WRITTEN_OUT.finditer(found)]
     least, most = {"ip": (4, 16), "card": (13, 19), "phone": (9, 15)}[kind]
-    if digits > most and " " in found:  # several numbers in a row
+    if " " in found and (digits > most or kind == "card" and not CARD_GROUPS.fullmatch(found)):  # several numbers in a row
         return [x for m in _WORD.finditer(found) for x in pieces(kind, text, a + m.start(), a + m.end())]
     return [(kind, a, b)] if least <= digits <= most and sum(map(str.isalpha, found)) <= 1 and (kind != "ip" or found.count(".") == 3) else []
 
