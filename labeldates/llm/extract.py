@@ -328,8 +328,8 @@ def labelled(pages: int = 240, seed: int = 3) -> list[tuple[str, list[str]]]:
         for kind in ("notice", "header", "nav", "ad", "aside"):
             if chance(0.5):
                 out.append(boiler(kind))
-        wrap = pick("article", "article", "article", "main", "main article", "div post", "div content", "div id", "section")
-        out.append({"article": "<article>", "main": "<main>", "main article": "<main><article>", "div post": '<div class="post">', "div content": '<div class="content">', "div id": '<div id="article-body">', "section": '<section itemprop="articleBody">'}[wrap])
+        wrap = pick("article", "article", "article", "main", "main article", "div post", "div content", "div id", "section", "div", "nothing")
+        out.append({"article": "<article>", "main": "<main>", "main article": "<main><article>", "div post": '<div class="post">', "div content": '<div class="content">', "div id": '<div id="article-body">', "div": '<div class="wrap">', "nothing": "", "section": '<section itemprop="articleBody">'}[wrap])
         out.append(f"<h1>{main(1, 9)}</h1>" if chance(0.7) else f"<header><h1>{main(1, 9)}</h1></header>" if "article" in wrap and chance(0.7) else "")
         for _ in range(int(rng.integers(1, 12))):
             out.append(paragraph())
@@ -337,7 +337,7 @@ def labelled(pages: int = 240, seed: int = 3) -> list[tuple[str, list[str]]]:
                 out.append(boiler(pick("ad", "aside", "form", "notice", "share", "nav")))
         if chance(0.2):
             out.append(boiler(pick("share", "comment")))
-        out.append({"article": "</article>", "main": "</main>", "main article": "</article></main>", "section": "</section>"}.get(wrap, "</div>"))
+        out.append({"article": "</article>", "main": "</main>", "main article": "</article></main>", "section": "</section>", "nothing": ""}.get(wrap, "</div>"))
         for kind in ("share", "comment", "aside", "ad", "form", "nav", "footer"):
             if chance(0.45):
                 out.append(boiler(kind))
