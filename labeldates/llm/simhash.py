@@ -219,7 +219,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, less near-duplicates: of each component the row of smallest id stays (of its
     smallest text hash, where an id has several texts), once."""
     found = near_duplicates(docs, radius)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select(F.col("root").alias("__root"), F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
-    once = Window.partitionBy("__root").orderBy("__hash")
-    return docs.join(kept, same).withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[docs[c] for c in docs.columns])
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").cast("long").isNull(), "__hash": F.xxhash64(F.col("text").cast("string"))}
+    # Repeated rows become one first (each task keeps one of its own before anything moves); the join then finds its rows
+    # where the window has put them, so a text is moved once.
+    once = docs.withColumns(keys).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__hash"))).where("__n = 1")
+    kept = kept.select(F.coalesce("__id", F.lit(0)).alias("__id"), F.col("__id").isNull().alias("__none"), "__hash")
+    return once.join(kept, [*keys]).select(*[once[f"`{c}`"] for c in docs.columns])
