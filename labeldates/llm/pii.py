@@ -98,7 +98,7 @@ class Shapes(dict):
     def __missing__(self, word: str) -> int:
         import zlib
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % (self.SIZE - 1) + 1
         return found
@@ -249,11 +249,11 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices whose texts have at most about 4 M characters together, one text at least."""
+    """Slices whose texts have at most about 1.5 M characters together, one text at least."""
     sizes = np.cumsum([len(x.as_py() or "") + 64 for x in batch.column(at)])
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + 4_000_000, "right")))
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + 1_500_000, "right")))
         part = batch.slice(i, j - i)
         yield part, [x or "" for x in part.column(at).to_pylist()]
         i = j

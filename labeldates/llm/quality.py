@@ -39,7 +39,7 @@ class WordHash(dict):
     """Word to bucket, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         return found
