@@ -82,6 +82,19 @@ def myers(pattern: str, text: str, k: int) -> list[tuple[int, int]]:
     return found
 
 
+def _best_ends(ends: list[tuple[int, int]], reach: int) -> Iterator[tuple[int, int]]:
+    """From left to right, the best end within ``reach`` of the first that is left; those within ``reach`` after it go."""
+    i = 0
+    while i < len(ends):
+        j = i
+        while j < len(ends) and ends[j][0] <= ends[i][0] + reach:
+            j += 1
+        end, distance = min(ends[i:j], key=lambda x: (x[1], x[0]))
+        yield end, distance
+        while i < len(ends) and ends[i][0] <= end + reach:
+            i += 1
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         import ahocorasick
@@ -112,7 +125,10 @@ class Matcher:
                 k, m = self.items[n][2], len(self.items[n][1])
                 lo, hi = end + 1 - size - start - k, end + 1 - size - start + m + k
                 of = windows.setdefault(n, [])
-                of.append([lo, hi])
+                if of and lo <= of[-1][1] and hi >= of[-1][0]:
+                    of[-1] = [min(lo, of[-1][0]), max(hi, of[-1][1])]
+                else:
+                    of.append([lo, hi])
         found = []
         for n, of in windows.items():
             item_id, item, k = self.items[n]
@@ -131,13 +147,10 @@ class Matcher:
                 if (at := window.find(item)) >= 0 and len(window) < 2 * len(item):
                     found.append((item_id, lo + at, lo + at + len(item), 0, len(item)))
                     continue
-                ends = myers(item, window, k)
-                while ends:  # the best end of each run of ends that overlap
-                    end, distance = min(ends, key=lambda x: (x[1], x[0]))
+                for end, distance in _best_ends(myers(item, window, k), len(item) // 2):
                     back = myers(item[::-1], window[max(0, end - len(item) - k) : end][::-1], distance)
                     start = end - max(e for e, d in back if d == distance)
                     found.append((item_id, lo + start, lo + end, distance, len(item)))
-                    ends = [x for x in ends if abs(x[0] - end) > len(item) // 2]
         if not found:
             return []
         place = offsets(text)

@@ -2,8 +2,8 @@
 
 ``tiktoken`` runs the same merges about four times as fast from the rank file of the same vocabulary. It is used for
 texts in which the two libraries cannot differ: no special-token string (``tokenizers`` turns it into its id) and no
-character past Latin Extended-B, where the Unicode tables of the two regex engines may be of different age. All other
-texts go through ``tokenizers`` itself.
+character past Latin Extended-B, where the Unicode tables of the two regex engines may be of different age. Texts with very
+long runs of white space, on which its regex engine runs out of stack, and all other texts go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 import re
 
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+LONG_SPACE = re.compile(r"\s{2000}")
 SPECIAL = "<|endoftext|>"
 
 
@@ -50,6 +51,6 @@ class ByteBpe:
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.fast is not None and SPECIAL not in text and not BEYOND_LATIN.search(text):
+        if self.fast is not None and SPECIAL not in text and not BEYOND_LATIN.search(text) and not LONG_SPACE.search(text):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids

@@ -317,3 +317,23 @@ def test_viterbi_against_enumeration():
             score = lambda p: model.first[p[0]] + model.last[p[-1]] + sum(e[at + i, k] for i, k in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
             assert tuple(got[at : at + n]) == max(product(range(3), repeat=int(n)), key=score)
         at += n
+
+
+LONG = {"a": "a" * 300_000, "space": " " * 300_000, "digits": "7 " * 60_000, "at": "a@" * 100_000, "words": "word " * 60_000, "lines": "\n" * 200_000}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts_take_time_in_proportion(reader, kind):
+    import time
+
+    text, began = LONG[kind], time.monotonic()
+    ByteBpe(*default_paths()).ids(text)
+    list(pii.spans(reader, [text], pii.Shapes()))
+    simhash.fingerprint(text)
+    quality.features(text, [None], quality.WordHash())
+    decontam.Matcher([(1, "word word word word word word word word"), (2, "a" * 40)]).find(text)
+    assert time.monotonic() - began < 30
+
+
+def test_best_ends():
+    assert list(decontam._best_ends([(5, 2), (6, 1), (7, 1), (30, 0), (31, 1)], 10)) == [(6, 1), (30, 0)] and list(decontam._best_ends([], 3)) == []
