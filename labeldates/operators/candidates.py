@@ -169,4 +169,5 @@ def month_and_day(text: Column, policy: Policy = DEFAULT) -> Column:
         return F.when(part.rlike(pattern), F.struct(as_int(F.regexp_extract(part, pattern, 1)).alias("m"), as_int(F.regexp_extract(part, pattern, 2)).alias("d")))
 
     found = first(F.filter(F.transform(ordered, within), lambda x: x.isNotNull()))
-    return F.when(text.rlike(pattern), found)
+    # A stretch can end inside a number, so the pattern itself may fail on the whole text.
+    return F.when(text.rlike(r"(?U)\d[./]\d"), found)
