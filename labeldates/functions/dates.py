@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,13 @@ MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 MONTH = "(" + "|".join(MONTHS) + ")"
 
 
+# Decimal digits of other scripts, which the patterns match too, and their ASCII forms: a table made by rule.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in OTHER_DIGITS)
+
+
 def as_int(text: Column) -> Column:
-    return text.try_cast("int")
+    return F.coalesce(text.try_cast("int"), F.translate(text, OTHER_DIGITS, ASCII_DIGITS).try_cast("int"))
 
 
 def days_in_month(y: Column, m: Column) -> Column:

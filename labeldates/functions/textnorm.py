@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .spans import bind
 
 WIDE_SPACE = "　"
-FULL_WIDTH_DIGITS = "".join(chr(0xFF10 + i) for i in range(10))
 
 
 def unify_terms(text: Column) -> Column:
@@ -39,11 +38,6 @@ def aliased(text: Column) -> Column:
     return bind(bind(unify_terms(text), blank_maker_words), blank_clock_times)
 
 
-def ascii_digits(text: Column) -> Column:
-    """Full-width digits as ASCII digits, at the same positions."""
-    return F.translate(text, FULL_WIDTH_DIGITS, "0123456789")
-
-
 @lru_cache(maxsize=1)
 def _compatibility() -> tuple[str, str, dict[str, str]]:
     """Characters with a compatibility or canonical form of one character, that form, and those with a longer one."""

@@ -186,7 +186,7 @@ def read_dates(df: DataFrame, text: str = "text", crop: str | Column | bool = Fa
     """
     is_crop = F.lit(crop) if isinstance(crop, bool) else F.coalesce(F.col(crop) if isinstance(crop, str) else crop, F.lit(False))
     steps, answer = _steps(df.sparkSession.sparkContext.applicationId, out, rescue, policy)
-    step = df.withColumns({f"__{out}_text": textnorm.ascii_digits(F.coalesce(F.col(text).cast("string"), F.lit(""))), f"__{out}_crop": is_crop})
+    step = df.withColumns({f"__{out}_text": F.coalesce(F.col(text).cast("string"), F.lit("")), f"__{out}_crop": is_crop})
     for name, column in steps:
         step = step.withColumn(name, column)
     # A filter on the answer would be pushed below it, with a copy of the whole reading for each mention, and those of

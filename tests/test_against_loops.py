@@ -7,13 +7,14 @@ import calendar
 import datetime as dt
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from labeldates.config import DEFAULT
-from labeldates.functions import dates
+from labeldates.functions import dates, textnorm
 from labeldates.operators import candidates as cand
-from labeldates.operators import choose
+from labeldates.operators import choose, layers
 
 PRIOR = dict(DEFAULT.year_prior)
 PHRASE = re.compile(cand.ENGLISH_DUE, re.I)
@@ -150,3 +151,111 @@ def test_base_answers(spark):
             wrong.append((t, [tuple(c) for c in r["c"]], found(t), got, answer(t)))
     assert not wrong, wrong[:5]
     assert sum(r["a"] is not None for r in rows) > 500
+
+
+# --- the layers
+
+def aliased(t):
+    t = t.replace("사용기한", "소비기한").replace("품질유지기한", "소비기한")
+    t = re.sub("제조(?:번호|원|회사|국|사|공장|업체)", lambda m: "　" * len(m[0]), t)
+    return re.sub(r"(?<![\d.\-/:])\d{1,2}:\d{2}(?![\d.\-/:])", lambda m: " " * len(m[0]), t)
+
+
+def repaired(t):
+    table = {c: d for d, cs in textnorm.CONFUSED.items() for c in cs}
+    t = re.sub(textnorm.DATE_LIKE.removeprefix("(?U)"), lambda m: "".join(table.get(c, c) for c in m[0]), unicodedata.normalize("NFKC", t))
+    return re.sub(r"(?<=\d)[:~](?=\d{1,2}(?!\d))", ".", t)
+
+
+def has(t, words):
+    return any(w.upper() in t.upper() for w in words)
+
+
+def fits(t, m, crop):
+    near = t[max(0, m.start() - 25) : m.end() + 25]
+    return not has(near, layers.OTHER_NUMBERS) and (crop or has(near, layers.DUE))
+
+
+def marked(t, crop):
+    for m in re.finditer(layers.MONTH_YEAR, t):
+        before = t[max(0, m.start() - 25) : m.start()]
+        marks = list(re.finditer(layers.MARKER, before, re.I))
+        if marks and 1 <= int(m[1]) <= 12 and 2015 <= int(m[2]) <= 2035 and not re.search(r"\d{3}", before[marks[-1].end() :]):
+            return int(m[2]), int(m[1]), None
+    if end := re.search(layers.END_MARK, t, re.I):
+        for m in re.compile(layers.MONTH_YEAR_2).finditer(t, end.end()):
+            if 1 <= int(m[1]) <= 12 and 15 <= int(m[2]) <= 35 and m.start() - end.end() <= 60:
+                return 2000 + int(m[2]), int(m[1]), None
+
+
+def by_pattern(*specs, anchored=True):
+    """Of each pattern in turn the first match that is a date: how its groups make year, month, day."""
+    def of(t, crop):
+        for pattern, flags, make in specs:
+            for m in re.finditer(pattern, t, flags):
+                date = make(m, t)
+                if date and (is_date(*date) if date[2] is not None else 2015 <= date[0] <= 2035 and 1 <= date[1] <= 12) and (not anchored or fits(t, m, crop)):
+                    return date
+    return of
+
+
+def three(m, t):
+    x, mo, z = (int(g) for g in m.groups())
+    ways = [w for w in ((2000 + x, mo, z), (2000 + z, mo, x)) if is_date(*w)]
+    if len(ways) == 2 and (hint_of(t) == "dmy" or (hint_of(t) is None and likelier(2000 + x, 2000 + z))):
+        ways.reverse()
+    return ways[0] if ways else None
+
+
+def number(name):
+    return dates.MONTHS.index(name.upper()) + 1
+
+
+def lone(t, crop):
+    best = None
+    for m in re.finditer(layers.LONE_MONTH_DAY, t):
+        before, after = t[max(0, m.start() - 25) : m.start()], t[m.end() : m.end() + 25]
+        if any(w in before + after for w in layers.OTHER_DECIMALS):
+            continue
+        score = 2.0 * any(w in before + after for w in layers.DUE) + 1.5 * ("까지" in after[:6]) + m.start() / max(1, len(t)) * 0.5
+        if best is None or score > best[0]:
+            best = score, (None, int(m[1]), int(m[2]))
+    return best and best[1]
+
+
+LAYERS = [
+    by_pattern((layers.GLUED_D_MON_Y, re.I, lambda m, t: (2000 + int(m[3]), number(m[2]), int(m[1]))), anchored=False),
+    by_pattern((layers.EIGHT, 0, lambda m, t: tuple(map(int, m.groups()))), (layers.SIX, 0, lambda m, t: (2000 + int(m[1]), int(m[2]), int(m[3])))),
+    by_pattern((layers.SPACED_Y4, 0, lambda m, t: tuple(map(int, m.groups())))),
+    lambda t, crop: by_pattern((layers.SPACED_D_MY4, 0, lambda m, t: (int(m[3]), int(m[2]), int(m[1]))), (layers.SPACED_2, 0, three))(t, True) if crop else None,
+    by_pattern((layers.MON_Y4, re.I, lambda m, t: (int(m[2]), number(m[1]), None)), (layers.Y4_M, 0, lambda m, t: (int(m[1]), int(m[2]), None)), (layers.M_Y4, 0, lambda m, t: (int(m[2]), int(m[1]), None))),
+    lone,
+]
+
+
+def layered(t, crop):
+    alias = aliased(t)
+    if got := answer(alias) or marked(alias, crop):
+        return got
+    fixed = repaired(alias)
+    if fixed != alias and (got := answer(fixed)):
+        return got
+    return next((got for f in LAYERS for x in (fixed, alias, t) if (got := f(x, crop))), None)
+
+
+def test_layers(spark):
+    rng = random.Random(22)
+    pieces = [
+        "소비기한", "사용기한", "품질유지기한:", "제조번호", "제조국", "EXP", "Best Before End", "BBE", "USE BY", "fin de", "말일", "까지", "유효기간", "LOT", "로트", "전화", "보관", "로 ", "ml", "g", "%", "℃", "(년월일)", "㎎", "　", "２０２６", "：",
+        " ", " ", " ", ".", "-", "/", ":", "~", "2O26", "O3", "I1", "2B", "그5", "202B.01.2", "20260516", "261030", "30APR21", "MAY", "OCT.2021", "MAY 2023", "2027:10", "09/2026", "07-21", "30 12 23", "19 102022", "2020 06 03", "02.18", "12/31", "2.8", "19:06", "1:30", "2026", "11", "7", "45", "S", "b", "OI",
+    ]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for crop in (False, True):
+        rows = layers.read_dates(spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4), text="t", crop=crop).collect()
+        wrong = []
+        for r in rows:
+            want, a = layered(texts[r["i"]], crop), r["answer"]
+            if (a and (a["y"], a["m"], a["d"])) != want:
+                wrong.append((texts[r["i"]], a, want))
+        assert not wrong, (len(wrong), wrong[:6])
+        assert len({r["answer"]["via"] for r in rows if r["answer"]}) >= (8 if crop else 7)
