@@ -174,7 +174,7 @@ def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_free_text_has_no_dates", """SELECT 'documents' AS name, count(*)::BIGINT AS n, 0::BIGINT AS full_dates FROM documents UNION ALL SELECT 'pages', count(*)::BIGINT, 0::BIGINT FROM pages""")
 def q_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full dates near words of expiry in free text: the tables have none."""
-    one = lambda name, col: table(spark, sf_dir, name).select(F.lit(name).alias("name"), F.size(F.filter(choose.with_kinds(F.coalesce(F.col(col), F.lit("")), candidates.full_dates(textnorm.aliased(F.coalesce(F.col(col), F.lit(""))))), lambda c: c["kind"] == "EXP")).alias("k"))
+    one = lambda name, col: spread(table(spark, sf_dir, name).select(col)).select(F.lit(name).alias("name"), F.size(F.filter(choose.with_kinds(F.coalesce(F.col(col), F.lit("")), candidates.full_dates(textnorm.aliased(F.coalesce(F.col(col), F.lit(""))))), lambda c: c["kind"] == "EXP")).alias("k"))
     return one("documents", "text").unionByName(one("pages", "html")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("full_dates"))
 
 
