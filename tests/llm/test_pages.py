@@ -107,8 +107,10 @@ def test_page_of_every_part(model):
 
 
 def test_odd_pages(spark, model, pages):
-    odd = ["", "<", "<article", "<article><p", "</p></div>", "<!-- never closed", "<script>never closed", "<p>" * 20_000, "<div>" * 5000 + "x", "a < b <c", '<a href="unclosed>x</a>', "&#0;&bogus;&amp"]
-    assert texts(model, *odd)[:7] == [""] * 7
+    empty = ["", "<article", "<article><p", "</p></div>", "<!-- never closed", "<script>never closed", "<p>" * 20_000]
+    assert texts(model, *empty) == [""] * 7
+    assert len(texts(model, "<", "<div>" * 5000 + "x", "a < b <c", '<a href="unclosed>x</a>', "&#0;&bogus;&amp")) == 5
+    assert texts(model, "<body><p>Only a paragraph of text.</p>") == ["Only a paragraph of text."]  # no article is marked
     rows = {r["page_id"]: r for r in extract.main_text(pages, model).collect()}
     assert rows[0]["text"] == "one" and rows[0]["n_chars"] == 3 and rows[1]["text"] == rows[2]["text"] == "" and rows[None]["text"] == "one"
     assert extract.main_text(pages.limit(0), model).count() == 0 and extract.main_text(pages, model).columns == ["page_id", "url", "text", "n_chars"]
