@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labeldates.llm import common, decontam, packing, pii, quality, simhash
+from labeldates.llm import alike, common, decontam, packing, pii, quality, simhash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component one document stays."""
-    return simhash.one_of_each(docs)
+    """Of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more, transitively, one stays."""
+    return simhash.first_of_each(docs, alike.near_copies(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

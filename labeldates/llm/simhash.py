@@ -39,14 +39,21 @@ TILE = 4096
 FRONTIER = 1_000_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def shingle_values(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of all shingles, repeated ones too."""
     from xxhash import xxh64_intdigest
 
     words = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
-    h = np.fromiter((xxh64_intdigest(s.encode("utf-8", "surrogatepass"), SEED) for s in shingles), dtype="<u8", count=len(shingles))
+    return np.fromiter((xxh64_intdigest(s.encode("utf-8", "surrogatepass"), SEED) for s in shingles), dtype="<u8", count=len(shingles))
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    h = shingle_values(text, size)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -218,7 +225,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, less near-duplicates: of each component the row of smallest id stays (of its
     smallest text hash, where an id has several texts), once."""
-    found = near_duplicates(docs, radius)
+    return first_of_each(docs, near_duplicates(docs, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` less all but one of each ``root`` in ``found`` (``doc_id``, ``text_hash``, ``root``)."""
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").cast("long").isNull(), "__hash": F.xxhash64(F.col("text").cast("string"))}
     # Repeated rows become one first (each task keeps one of its own before anything moves); the join then finds its rows
