@@ -40,7 +40,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in with a provisional count (a quarter of their characters), which is then revised to the
-    tokenizer's; the revision is sent twice. Documents without text are deleted again."""
+    tokenizer's; the revision is sent twice. Documents without text are deleted and inserted again, so every one counts."""
     exact = stash(rollups.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k"), "token-counts")
     provisional = exact.withColumn("tokens", F.ceil(F.col("chars") / 4).cast("long"))
     held = rollups.Rollup(spark, fresh_path(spark, "rollup"))
@@ -48,6 +48,7 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         held.commit("revise", rollups.revisions(provisional, exact))
     held.commit("withdraw", rollups.deletes(exact.where("chars = 0")))
+    held.commit("restore", rollups.inserts(exact.where("chars = 0")))
     return held.totals()
 
 

@@ -337,3 +337,11 @@ def test_long_texts_take_time_in_proportion(reader, kind):
 
 def test_best_ends():
     assert list(decontam._best_ends([(5, 2), (6, 1), (7, 1), (30, 0), (31, 1)], 10)) == [(6, 1), (30, 0)] and list(decontam._best_ends([], 3)) == []
+
+
+def test_op7_counts_documents_without_text(spark, documents, tmp_path):
+    from labeldates.llm import queries
+
+    documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_token_rollups(spark, str(tmp_path)).collect()
+    assert sum(r["docs"] for r in got) == documents.count() and any(r["source"] is None and r["docs"] == 1 for r in got)
