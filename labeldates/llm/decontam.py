@@ -10,8 +10,10 @@ run over the reversed text.
 Items are taken in blocks of at most ``BLOCK_CHARS`` characters of text (a bound on what each task holds, whatever the
 size of the benchmark); one pass over the documents handles each block. Documents are never shuffled.
 
-Defined cases: null texts and items of fewer than ``MIN_CHARS`` characters in normal form match nothing (such an item
-would match by chance). Repeated items or documents give repeated rows. Null ids are carried. Extra columns are ignored.
+Items of fewer than ``MIN_CHARS`` characters in normal form are matched without edits and at word boundaries only (with
+edits they would match by chance); scripts written without spaces have a boundary at every character.
+
+Defined cases: null texts and items without characters in normal form match nothing. Repeated items or documents give repeated rows. Null ids are carried. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +55,16 @@ def budget(m: int, rate: float = RATE) -> int:
     return max(2, int(m * rate))
 
 
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring characters are of one word."""
+    spaced = lambda c: (c.isalnum() or c == "_") and not (c >= "\u2e80" or "\u0e00" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff")
+    return spaced(a) and spaced(b)
+
+
+def stands_alone(text: str, start: int, end: int) -> bool:
+    return not (start and _joins(text[start - 1], text[start])) and not (end < len(text) and _joins(text[end - 1], text[end]))
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     cuts = [i * len(item) // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
@@ -103,9 +115,9 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if text is None or len(item := normal(text)) < MIN_CHARS:
+            if text is None or not (item := normal(text)):
                 continue
-            k = budget(len(item), rate)
+            k = budget(len(item), rate) if len(item) >= MIN_CHARS else 0
             for start, piece in pieces(item, k):
                 at.setdefault(piece, []).append((len(self.items), start))
             self.items.append((item_id, item, k))
@@ -120,16 +132,20 @@ class Matcher:
             return []
         plain = normal(text)
         windows: dict[int, list[list[int]]] = {}
+        found = []
         for end, (size, places) in self.automaton.iter(plain):
             for n, start in places:
                 k, m = self.items[n][2], len(self.items[n][1])
+                if m < MIN_CHARS:
+                    if stands_alone(plain, end + 1 - m, end + 1):
+                        found.append((self.items[n][0], end + 1 - m, end + 1, 0, m))
+                    continue
                 lo, hi = end + 1 - size - start - k, end + 1 - size - start + m + k
                 of = windows.setdefault(n, [])
                 if of and lo <= of[-1][1] and hi >= of[-1][0]:
                     of[-1] = [min(lo, of[-1][0]), max(hi, of[-1][1])]
                 else:
                     of.append([lo, hi])
-        found = []
         for n, of in windows.items():
             item_id, item, k = self.items[n]
             of.sort()

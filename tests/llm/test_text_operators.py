@@ -345,3 +345,10 @@ def test_op7_counts_documents_without_text(spark, documents, tmp_path):
     documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op7_token_rollups(spark, str(tmp_path)).collect()
     assert sum(r["docs"] for r in got) == documents.count() and any(r["source"] is None and r["docs"] == 1 for r in got)
+
+
+def test_short_items_match_exactly():
+    found = lambda text: [(i, text[a:b], d) for i, a, b, d, _ in decontam.Matcher([(1, "Who was  Ana?"), (2, "今天是星期几"), (3, "old cat"), (4, " ")]).find(text)]
+    assert found("so who was ana? an old\ncat") == [(1, "who was ana?", 0), (3, "old\ncat", 0)]
+    assert found("请问今天是星期几呢") == [(2, "今天是星期几", 0)]
+    assert found("a bold cat, old cats, who was anna?") == []
