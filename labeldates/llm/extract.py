@@ -60,6 +60,7 @@ BY_TAG = {"article": "article", "main": "main", "nav": "nav", "menu": "nav", "he
 GOOD = BIT["article"] | BIT["main"]
 BAD = sum(BIT[r] for r in ("nav", "header", "footer", "aside", "form", "comment", "ad", "notice", "share", "hidden"))
 CUES = (("©", "copyright", "all rights reserved"), ("cookie", "consent", "privacy"), ("comment", "reply", "replies"), ("subscribe", "newsletter", "sign up", "log in"), ("advert", "sponsored"), ("share", "follow us"), ("read more", "related"))
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SIZE = 4096
 WIDTH = 28
 
@@ -177,6 +178,10 @@ def blocks(page: str, known: dict | None = None) -> list[Block]:
                     depth -= 1
                 close(depth)
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag == "br":
             parts.append(" ")
             continue

@@ -119,3 +119,11 @@ def test_odd_pages(spark, model, pages):
 def test_blocks_follow_the_markup():
     found = extract.blocks("<div>a<p>b<p>c<b>d</b>e</div>f<br>g<table><tr><td>h<td>i</table>")
     assert [b.text for b in found] == ["a", "b", "cde", "f g", "h", "i"]
+
+
+def test_empty_silent_elements_and_open_head():
+    of = lambda page: [b.text for b in extract.blocks(page)]
+    assert of("<article><p>A <svg viewBox='0 0 1 1'/> B <math/></p><p>C</p></article>") == ["A B", "C"]
+    assert of("<svg><text>no</text></svg><p>D</p>") == ["D"]
+    assert of("<html><head><title>t</title><meta charset=x><script>s</script><p>E</p><p>F</p>") == ["E", "F"]
+    assert of("<head><noscript><img src=x></noscript><title>t</title></head><body><p>G</p>") == ["G"]
