@@ -1,11 +1,15 @@
 """Near copies by word shingles: all pairs of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints that tell such pairs lie up to 17 bits apart, too far for pigeonhole shards, so the pairs are found by an
-exact set join. A set of ``n`` shingles (XXH64) has a prefix, its first ``n - ceil(0.8 n) + 1`` in one order of all
+Two layers. First the SimHash of the 5-word shingles: fingerprints within ``simhash.RADIUS`` bits are linked by BK-trees
+(``simhash.links``), and what they link is checked by the exact similarity. That joins copies and most near copies at the
+cost of a row each. Pairs of similarity 0.8 can lie up to 17 bits apart, though, where a BK-tree over 64 bits prunes
+nothing and shards by whole blocks do not reach; so the rest comes from an exact set join, over the texts that are not in
+one component yet. A set of ``n`` shingles (XXH64) has a prefix, its first ``n - ceil(0.8 n) + 1`` in one order of all
 shingles; two sets of similarity 0.8 share a shingle of their prefixes, whatever the order is. The order here is by hash,
 with the shingles that a sample shows often at the end, where prefixes seldom reach.
 
-How it scales. Equal sets are merged first, so copies never meet. Prefixes meet by shingle. Of up to ``SMALL`` sets that
+How it scales. Equal sets are merged first, so copies never meet. Prefixes meet by shingle, except for the few shingles
+that a thousandth of all rows share, whose rows stay apart (``_crowded``). Of up to ``SMALL`` sets that
 share one, all pairs are candidates; of more, a few leading sets against all. Those leave the group, and a next round
 takes more leading sets against those that are not in one component with them yet, until no group is left: a large group
 of near copies costs a row per member and round, not all pairs. A candidate is compared by size and by parities: 1,024
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 SHINGLE = 5
-SMALL, LEADERS = 32, 2
+SMALL, LEADERS, CROWD = 32, 2, 10_000
 SAMPLE, OFTEN = 10_000, 50_000
 BITS = 1024
 PAIRS = 1 << 20
@@ -39,6 +43,9 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(simhash.shingle_values(text, SHINGLE))
 
 
+MADE = "doc_id long, text_hash long, root long, n long, bits binary, fp long, prefix array<long>"
+
+
 def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     n = len(own)
     if not n:
@@ -83,12 +90,14 @@ def _sets(often: np.ndarray, rank: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(x.as_py()) for x in batch.column(2)]
+            every = [simhash.shingle_values(x.as_py(), SHINGLE) for x in batch.column(2)]
+            prints = np.array([simhash.of_values(x) for x in every], np.uint64).view(np.int64)
+            own = [np.unique(x) for x in every]
             ids = np.array([xxh64_intdigest(s.tobytes(), 42) if len(s) else 0 for s in own], dtype=np.uint64).view(np.int64)
             firsts = [prefix(s, often, rank).view(np.int64) for s in own]
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in own], pa.int64()), pa.array([parities(s) for s in own], pa.binary()), firsts], names=["doc_id", "text_hash", "root", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in own], pa.int64()), pa.array([parities(s) for s in own], pa.binary()), pa.array(prints), firsts], names=[c.split()[0] for c in MADE.split(", ")])
 
     return run
 
@@ -164,36 +173,72 @@ def _near_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, small: int = SMALL) -> DataFrame:
+def _verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of sets whose similarity is 0.8 or more, as a written table."""
+    near = pairs.where("a <> b").distinct()
+    for k in ("a", "b"):
+        near = near.join(bits.select(F.col("root").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+    near = common.stash(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near_parities, "a long, b long"), "near-parities")
+    ends = common.stash(near.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(bits.select("root", "text_hash"), "root"), "ends")
+    ends = common.stash(texts.join(ends, "text_hash").dropDuplicates(["root"]).select("root", "text"), "texts")
+    for k in ("a", "b"):
+        near = near.join(ends.select(F.col("root").alias(k), F.col("text").alias(f"text_{k}")), k)
+    return common.stash(near.select("a", "b", "text_a", "text_b").mapInArrow(_near_texts, "a long, b long"), "links")
+
+
+def _by_fingerprint(bits: DataFrame, radius: int) -> DataFrame:
+    """Candidates from the BK-trees: every set with the least set of its fingerprint, and the least sets of linked
+    fingerprints."""
+    least = common.stash(bits.groupBy("fp").agg(F.min("root").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    tied = simhash.links(least.select("fp"), radius)
+    same = common.join_named(bits.select("fp", "root"), least, "fp", bits.count()).select(F.col("least").alias("a"), F.col("root").alias("b"))
+    for k in ("a", "b"):
+        tied = tied.join(least.select(F.col("fp").alias(k), F.col("least").alias(f"set_{k}")), k)
+    return same.union(tied.select(F.least("set_a", "set_b"), F.greatest("set_a", "set_b")))
+
+
+def _crowded(rows: DataFrame, leaders: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shingles that more than a thousandth of the rows (and ``least``) share, fewer than a thousand: which they are,
+    candidates of some leading sets of each with all others, and the rows ``(token, node, n)`` without these leaders.
+    The rows of such a shingle never meet in one task; the leaders, found by partial sums, go to them."""
+    total = rows.count()
+    found = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    found = common.stash(found.where(F.col("k") > max(total // common.HOT_SHARE, least)), "crowded")
+    mixed = F.broadcast(found.where("low <> high").select("token"))
+    lead = rows.join(mixed, "token").groupBy("token", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("place")).agg(F.min(F.struct("node", "n", "comp")).alias("x"))
+    lead = common.stash(lead.groupBy("token").agg(F.collect_list("x").alias("lead")), "leaders")
+    met = rows.join(F.broadcast(lead), "token")
+    pairs = met.withColumn("x", F.explode("lead")).where("comp <> x.comp and 5 * least(n, x.n) >= 4 * greatest(n, x.n)")
+    return found, pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")), met.where(~F.array_contains("lead.node", F.col("node"))).select("token", "node", "n")
+
+
+def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIUS, crowd: int = CROWD) -> DataFrame:
     """One row per document: ``doc_id``, ``text_hash`` and ``root``, which names its component."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    made = common.stash(rows.mapInArrow(_sets(*_often(docs)), "doc_id long, text_hash long, root long, n long, bits binary, prefix array<long>"), "shingle-sets")
-    sets = made.select("root", "n", "prefix").dropDuplicates(["root"])
-    bits = made.groupBy("root").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("text_hash").alias("text_hash"))
+    made = common.stash(rows.mapInArrow(_sets(*_often(docs)), MADE), "shingle-sets")
+    bits = made.groupBy("root").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows"))
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     bits = common.stash(bits, "distinct-sets")
-    open_ = sets.select(F.explode("prefix").alias("token"), F.col("root").alias("node"), "n", F.col("root").alias("comp"))
-    found, roots, leaders = None, None, LEADERS
+    found = _verified(_by_fingerprint(bits, radius), bits, texts)
+    roots = simhash.components(found)
+    known = lambda df: df.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    sets = known(made.select(F.col("root").alias("node"), "n", "prefix").dropDuplicates(["node"]))
+    open_, leaders = sets.select(F.explode("prefix").alias("token"), "node", "n", "comp"), LEADERS
     while True:
-        sorted_ = open_.repartition(parts, "token").sortWithinPartitions("token", "node")
+        open_ = common.stash(open_, "open")
+        crowded, pairs, left = _crowded(open_, leaders, crowd)
+        sorted_ = open_.join(F.broadcast(crowded.select("token")), "token", "left_anti").select("token", "node", "n", "comp")
+        sorted_ = sorted_.repartition(parts, "token").sortWithinPartitions("token", "node")
         met = common.stash(sorted_.mapInArrow(_meeting(leaders, small), "token long, a long, b long"), "candidates")
-        near = met.where("token is null").select("a", "b").distinct()
-        for k in ("a", "b"):
-            near = near.join(bits.select(F.col("root").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
-        near = near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near_parities, "a long, b long")
-        near = common.stash(near, "near-parities")
-        ends = common.stash(near.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(bits.select("root", "text_hash"), "root"), "ends")
-        ends = common.stash(texts.join(ends, "text_hash").dropDuplicates(["root"]).select("root", "text"), "texts")
-        for k in ("a", "b"):
-            near = near.join(ends.select(F.col("root").alias(k), F.col("text").alias(f"text_{k}")), k)
-        links = common.stash(near.select("a", "b", "text_a", "text_b").mapInArrow(_near_texts, "a long, b long"), "links")
-        found = links if found is None else found.union(links)
-        left = met.where("token is not null")
+        found = found.union(_verified(met.where("token is null").select("a", "b").union(pairs), bits, texts))
         roots = simhash.components(found)
+        left = left.union(met.where("token is not null").select("token", "a", "b"))
         if left.isEmpty():
             break
-        open_ = left.select("token", F.col("a").alias("node"), F.col("b").alias("n")).join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("comp"))
+        open_ = known(left).select("token", "node", "n", "comp")
         leaders *= 4
-    return made.select("doc_id", "text_hash", F.col("root").alias("node")).join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    of = bits.select(F.col("root").alias("node"), F.col("rows").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
+    of = common.stash(of, "set-roots")
+    return common.join_named(made.select("doc_id", "text_hash", F.col("root").alias("node")), of, "node", made.count()).select("doc_id", "text_hash", "root")

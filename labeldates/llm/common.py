@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_SHARE, HOT_LEAST = 1000, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a notebook in local mode) a temporary folder is made and kept as the
-    session's setting.
+    Only where a local session has none (tests, a notebook) a temporary folder is made and kept as the session's
+    setting; on a cluster it must be set, since a folder of one machine is not seen by the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -37,3 +42,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` with ``named``, which has a row per key and in ``n`` how many of ``total`` rows have it.
+
+    Keys that more than a thousandth of the rows (and ``HOT_LEAST``) share are fewer than a thousand, whatever the input:
+    their rows stay where they are and ``named`` comes to them; only the rows of other keys are shuffled. So no task
+    gets more than a thousandth of the rows for one key.
+    """
+    cold = F.col("n") <= F.lit(max(total // HOT_SHARE, HOT_LEAST))
+    hot = named.where(~cold).drop("n")
+    here = rows.join(F.broadcast(hot), key)
+    away = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.where(cold).drop("n"), key, how)
+    return here.unionByName(away)

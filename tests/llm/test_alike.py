@@ -71,7 +71,9 @@ def test_large_groups_in_rounds(spark, monkeypatch):
     want = reference_roots(texts)
     monkeypatch.setattr(alike, "OFTEN", 0)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    of = {}
-    for r in alike.near_copies(df, small=3).collect():
-        of.setdefault(r["root"], []).append(r["doc_id"])
-    assert {i: min(x) for x in of.values() for i in x} == want
+    monkeypatch.setattr(alike.common, "HOT_SHARE", 10**9)
+    for crowd in (10_000, 5):  # in one task by shingle, or apart
+        of = {}
+        for r in alike.near_copies(df, small=3, crowd=crowd).collect():
+            of.setdefault(r["root"], []).append(r["doc_id"])
+        assert {i: min(x) for x in of.values() for i in x} == want
