@@ -8,7 +8,8 @@ the URI of the shared folder, so any store that it opens will do.
 
 Of records with equal payloads, that of the largest page id is a response and holds the payload; the others are revisits
 that refer to it. The choice is made on digests: a payload never travels for it. Digests are grouped with partial
-aggregation, and joined back to the pages with what Spark does for skewed keys. A task writes packages of at most
+aggregation, and joined back to the pages by ``common.join_named``, so a digest that many pages share (an empty payload,
+an error page) never brings its rows into one task. A task writes packages of at most
 ``PACKAGE_BYTES`` and gives back their names; names hold the attempt, so a second attempt of a task writes files of its
 own and only the files of the attempt that counted are in the manifest. The manifest is a table, not a list at the
 driver.
@@ -201,8 +202,9 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """``page_id``, ``sha`` and ``refers_to`` of the pages that are to be revisits, each once."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_digests, "page_id long, n long, sha string").where(F.col("n") >= least)
     rows = common.stash(rows, "digests")
-    largest = rows.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.min(F.coalesce("page_id", F.lit(-(2**63)))).alias("low")).where("refers_to is not null and low < refers_to").drop("low")
-    return rows.join(largest, "sha").where("page_id is null or page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
+    largest = rows.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.min(F.coalesce("page_id", F.lit(-(2**63)))).alias("low"), F.count(F.lit(1)).alias("n"))
+    largest = common.stash(largest.where("refers_to is not null and low < refers_to").drop("low"), "largest")
+    return common.join_named(rows, largest, "sha", rows.count()).where("page_id is null or page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def _writing(folder: str, package_bytes: int):
