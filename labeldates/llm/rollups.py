@@ -6,8 +6,12 @@ is summed by key on the executors and written as one small table; the totals are
 
 Commits are idempotent. A batch is written to a folder of its own and then renamed to its id; only a renamed folder
 counts, and a batch whose id is there already changes nothing. A driver or executor that is lost in between leaves only
-a folder that no reader looks at. ``compact`` folds the batches that it lists into one table whose commit is likewise a
-rename.
+a folder that no reader looks at. This needs a store whose rename of a folder is atomic and fails where the name is taken
+or moves the folder inside (HDFS, a local disk, NFS); on a plain object store a commit must go through a table format.
+
+``compact`` folds the last compacted table and all batches after it into the next one, with the ids of all that it holds.
+Its commit is likewise a rename, to the next number: of two that run at once one wins and the other's work is thrown
+away. Only the highest number counts, so no batch is ever added twice.
 
 Defined cases: null source or language is a key of its own. Null text has zero tokens and counts as a document. Null
 counts and signs add nothing. Repeated rows count as often as they stand there. An empty batch commits and adds
@@ -74,12 +78,16 @@ class Rollup:
             return []
         return sorted(n for s in self._fs.listStatus(self._at(self.path)) if (n := s.getPath().getName()).startswith(f"{kind}="))
 
+    def _compacted(self) -> tuple[str | None, set[str]]:
+        """The compacted table that counts, and the ids of the batches in it."""
+        names = self._names("compact")
+        if not names:
+            return None, set()
+        return names[-1], {r["batch"] for r in self.spark.read.parquet(f"{self.path}/{names[-1]}/batches").collect()}
+
     def committed(self) -> set[str]:
         """Ids of all batches that count, compacted ones too."""
-        found = {n.split("=", 1)[1] for n in self._names("batch")}
-        if names := self._names("compact"):
-            found |= {r["batch"] for r in self.spark.read.parquet(*[f"{self.path}/{n}/batches" for n in names]).select("batch").distinct().collect()}
-        return found
+        return {n.split("=", 1)[1] for n in self._names("batch")} | self._compacted()[1]
 
     def _publish(self, working: str, name: str) -> bool:
         """The rename is the commit; of two at once one wins."""
@@ -105,29 +113,38 @@ class Rollup:
         summed.write.parquet(working)
         return self._publish(working, f"batch={batch}")
 
+    def _parts(self) -> tuple[str | None, set[str], list[str]]:
+        """The compacted table, the ids in it, and the ids of the batches beside it."""
+        single = [n.split("=", 1)[1] for n in self._names("batch")]  # listed first: what is folded meanwhile is in both
+        last, inside = self._compacted()
+        return last, inside, [b for b in single if b not in inside]
+
+    def _sum(self, last: str | None, single: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batch={b}" for b in single] + ([f"{self.path}/{last}/sums"] if last else [])
+        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        return rows.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS])
+
     def totals(self) -> DataFrame:
         """Keys with any documents, tokens or characters, after all committed batches."""
-        batches, compacts = self._names("batch"), self._names("compact")
-        inside = {r["batch"] for r in self.spark.read.parquet(*[f"{self.path}/{n}/batches" for n in compacts]).collect()} if compacts else set()
-        paths = [f"{self.path}/{n}" for n in batches if n.split("=", 1)[1] not in inside] + [f"{self.path}/{n}/sums" for n in compacts]
-        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
-        return rows.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]).where("docs <> 0 or tokens <> 0 or chars <> 0")
+        last, _, single = self._parts()
+        return self._sum(last, single).where("docs <> 0 or tokens <> 0 or chars <> 0")
 
     def compact(self, name: str) -> bool:
-        """Fold all single batches into one table; their folders go after the commit."""
+        """Fold the compacted table and all batches beside it into a new one; False if there is nothing to fold, ``name``
+        was used for the last one, or another ``compact`` was first. What was folded goes after the commit."""
         import uuid
 
-        if self._names("compact") and f"compact={name}" in self._names("compact"):
-            return False
-        inside = self.committed() - {n.split("=", 1)[1] for n in self._names("batch")}
-        names = [n for n in self._names("batch") if n.split("=", 1)[1] not in inside]
-        if not names:
+        last, inside, single = self._parts()
+        number = int(last.split("=", 1)[1]) + 1 if last else 1
+        used = last is not None and self.spark.read.parquet(f"{self.path}/{last}/name").first()["name"] == name
+        if not single or used:
             return False
         working = f"{self.path}/_working-{uuid.uuid4().hex}"
-        self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/{n}" for n in names]).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]).write.parquet(f"{working}/sums")
-        self.spark.createDataFrame([(n.split("=", 1)[1],) for n in names], "batch string").write.parquet(f"{working}/batches")
-        done = self._publish(working, f"compact={name}")
+        self._sum(last, single).write.parquet(f"{working}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(inside | set(single))], "batch string").write.parquet(f"{working}/batches")
+        self.spark.createDataFrame([(name,)], "name string").write.parquet(f"{working}/name")
+        done = self._publish(working, f"compact={number:010d}")
         if done:
-            for n in names:
+            for n in [f"batch={b}" for b in single] + ([last] if last else []):
                 self._fs.delete(self._at(f"{self.path}/{n}"), True)
         return done
