@@ -7,8 +7,10 @@ hit; hits are found for all items at once by an Aho-Corasick automaton. Around t
 Myers' bit-parallel distance, in which the item's pattern may end anywhere in the window; the start comes from the same
 run over the reversed text.
 
-Items are taken in blocks of at most ``BLOCK_CHARS`` characters of text (a bound on what each task holds, whatever the
-size of the benchmark); one pass over the documents handles each block. Documents are never shuffled.
+Items are taken in blocks of about ``BLOCK_CHARS`` characters of distinct items (one item at least), which bounds what the
+driver and each task hold, whatever the size of the benchmark. A block goes out as a broadcast; where there are several,
+each block's pass over the documents is written before the next block is read, so no task ever holds two automata.
+Documents are never shuffled.
 
 Items of fewer than ``MIN_CHARS`` characters in normal form are matched without edits and at word boundaries only (with
 edits they would match by chance); scripts written without spaces have a boundary at every character.
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 RATE = 0.08
 MIN_CHARS = 24
 BLOCK_CHARS = 4_000_000
@@ -173,22 +177,27 @@ class Matcher:
         return sorted(((i, int(place[a]), int(place[b - 1]) + 1, d, m) for i, a, b, d, m in found), key=lambda x: (x[1], x[2], str(x[0])))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size. The driver holds one block at a time."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks, and the distinct items of each with their number of rows. The driver holds one block at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     count = -(-chars // BLOCK_CHARS) or 1
-    for i in range(count):
-        yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).orderBy("item_id", "text").collect()]
+    block = lambda i: rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).orderBy("item_id", "text").collect()
+    return count, ([(r["item_id"], r["text"], r["n"]) for r in block(i)] for i in range(count))
 
 
-def _matching(items: list[tuple], rate: float):
+def _matching(items, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher([(k, text) for k, (_, text, _) in enumerate(items.value)], rate)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = [pa.int64()] * 4 + [pa.int32()] * 2
         for batch in batches:
-            rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in matcher.find(text.as_py())]
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for k, *hit in matcher.find(text.as_py()):
+                    item_id, _, n = items.value[k]
+                    rows += [(doc_id, item_id, *hit)] * n
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -199,15 +208,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """One row per occurrence of an item in a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for items in _blocks(benchmark):
-        part = rows.mapInArrow(_matching(items, rate), SCHEMA)
+    count, blocks = _blocks(benchmark)
+    for items in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+        part = rows.mapInArrow(_matching(sent, rate), SCHEMA)
+        if count > 1:
+            part = common.stash(part, "matches")
+            sent.destroy()
         found = part if found is None else found.unionAll(part)
     return found
 
 
-def _clean(items: list[tuple], rate: float, at: int):
+def _clean(items, rate: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher([(k, text) for k, (_, text, _) in enumerate(items.value)], rate)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(text.as_py()) for text in batch.column(at)], pa.bool_()))
 
@@ -216,6 +230,11 @@ def _clean(items: list[tuple], rate: float, at: int):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item occurs."""
-    for items in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(items, rate, docs.columns.index("text")), docs.schema)
+    count, blocks = _blocks(benchmark)
+    for items in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(_clean(sent, rate, docs.columns.index("text")), docs.schema)
+        if count > 1:
+            docs = common.stash(docs, "clean")
+            sent.destroy()
     return docs
