@@ -6,9 +6,10 @@ A vector is cut into segments, and each segment is known by its mean and deviati
 
 summed over segments: a lower bound of the distance, which doubling the number of segments can only raise. As
 2 <a, b> = |a|^2 + |b|^2 - |a - b|^2 and |a|^2 = L sum(mean^2 + dev^2), the same statistics bound the inner product from
-above by sum L (mean_a mean_b + dev_a dev_b). Candidates whose bound at a coarse level stays under a query's k-th best
-score are dropped; the rest go to the next finer level, and the survivors get their exact score. Bounds are widened by
-their rounding error, so nothing that could count is lost.
+above by sum L (mean_a mean_b + dev_a dev_b). A query without a k-th score yet first gets the exact scores of its
+best-bounded candidates. Candidates whose bound at a coarse level stays under a query's k-th best score are dropped; the
+rest go to the next finer level, and the survivors get their exact score, by falling bound. Bounds are widened by their
+rounding error, so nothing that could count is lost.
 
 How it scales. Queries are sent out in rounds of at most ``ROUND_BYTES`` (checked by their components before any is
 collected); each round is one scan of the candidates without a shuffle, in which every task keeps k rows for a query.
@@ -35,6 +36,7 @@ from . import common
 K = 5
 LEVELS = (2, 8, 32)
 ROUND_BYTES = 32_000_000
+PAIRS = 1 << 18
 SCHEMA = "query_id long, query_no long, vec_id long, score long"
 LEAST = np.iinfo(np.int64).min
 
@@ -61,7 +63,7 @@ class Search:
         self.score = np.full((len(ids), k), LEAST, np.int64)
         self.vec = np.zeros((len(ids), k), np.int64)
         self.count = np.zeros(len(ids), np.int64)
-        self.compared = 0
+        self.compared = self.pairs = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")  # at equal scores the smaller id comes first
@@ -71,41 +73,69 @@ class Search:
         step = max(1, 2_000_000 // max(len(ids), 1))
         for at in range(0, len(self.ids), step):
             rows = slice(at, min(at + step, len(self.ids)))
-            least = np.where(self.count[rows] >= self.k, self.score[rows, -1], LEAST).astype(float)
+            self.pairs += (rows.stop - rows.start) * len(ids)
             slack = 1e-9 * (1 + self.norm[rows, None] * norm.max(initial=0))
-            alive = None
+            alive = ids[None] != self.ids[rows, None]
+            if self.levels:
+                self._seed(rows, ids, y, self.stats[-1][rows] @ stats[-1].T, alive)
+            bound = None
             for mine, theirs in zip(self.stats, stats, strict=True):
-                if not np.isfinite(least).all() or (least <= float(LEAST)).all():
-                    break
-                if alive is None:
-                    alive = mine[rows] @ theirs.T + slack >= least[:, None]
-                elif alive.mean() > 0.25:
-                    alive &= mine[rows] @ theirs.T + slack >= least[:, None]
+                least = self._least(rows)
+                if alive.mean() > 0.25:
+                    bound = mine[rows] @ theirs.T + slack
+                    alive &= bound >= least[:, None]
                 else:
                     q, c = np.nonzero(alive)
-                    alive[q, c] = np.einsum("ij,ij->i", mine[rows][q], theirs[c]) + slack[q, 0] >= least[q]
-            self._exact(rows, ids, y, alive)
-
-    def _exact(self, rows: slice, ids: np.ndarray, y: np.ndarray, alive: np.ndarray | None) -> None:
+                    found = np.concatenate([np.einsum("ij,ij->i", mine[rows][q[i : i + PAIRS]], theirs[c[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)] + [np.empty(0)]) + slack[q, 0]
+                    alive[q, c] = found >= least[q]
+                    bound = np.full(alive.shape, -np.inf)
+                    bound[q, c] = found
+            self._survivors(rows, ids, y, alive, bound)
+
+    def _least(self, rows: slice) -> np.ndarray:
+        """The score that a candidate must reach to count."""
+        return np.where(self.count[rows] >= self.k, self.score[rows, -1], LEAST).astype(float)
+
+    def _seed(self, rows: slice, ids: np.ndarray, y: np.ndarray, bound: np.ndarray, alive: np.ndarray) -> None:
+        """Exact scores of the best-bounded candidates of queries that have no k-th score yet, so that bounds can prune."""
+        new = np.flatnonzero(self.count[rows] < self.k)
+        if not len(new) or not len(ids):
+            return
+        bound = np.where(alive[new], bound[new], -np.inf)
+        n = min(4 * self.k, len(ids))
+        best = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+        q, c = np.repeat(new, n), best.ravel()
+        q, c = q[alive[q, c]], c[alive[q, c]]
+        alive[q, c] = False
+        self._exact(rows, ids, y, q, c)
+
+    def _survivors(self, rows: slice, ids: np.ndarray, y: np.ndarray, alive: np.ndarray, bound: np.ndarray | None) -> None:
+        """Exact scores of what is left, by falling bound: the best of each query first, then those that still reach."""
+        if bound is not None and len(ids) > 64:
+            top = np.argpartition(-np.where(alive, bound, -np.inf), 63, axis=1)[:, :64]
+            q, c = np.repeat(np.arange(len(alive)), 64), top.ravel()
+            q, c = q[alive[q, c]], c[alive[q, c]]
+            self._exact(rows, ids, y, q, c)
+            alive[q, c] = False
+            alive &= bound >= self._least(rows)[:, None]
+        self._exact(rows, ids, y, *np.nonzero(alive))
+
+    def _exact(self, rows: slice, ids: np.ndarray, y: np.ndarray, q: np.ndarray, c: np.ndarray) -> None:
+        """Score the pairs (query of ``rows``, candidate) and keep the k best of each query."""
         n = rows.stop - rows.start
-        if alive is not None and alive.mean() <= 0.1:
-            q, c = np.nonzero(alive)
-            found = self._products(self.x[rows][q], y[c], paired=True)
-        else:
-            q, c = np.repeat(np.arange(n), len(ids)), np.tile(np.arange(len(ids)), n)
-            found = self._products(self.x[rows], y).ravel()
-            keep = found >= np.repeat(np.where(self.count[rows] >= self.k, self.score[rows, -1], LEAST), len(ids))
-            q, c, found = q[keep], c[keep], found[keep]
-        self.compared += len(found)
-        own = ids[c] == self.ids[rows][q]
-        q, c, found = q[~own], c[~own], found[~own]
+        self.compared += len(q)
+        for i in range(0, len(q), PAIRS):
+            self._keep(rows, n, q[i : i + PAIRS], ids[c[i : i + PAIRS]], self._products(self.x[rows][q[i : i + PAIRS]], y[c[i : i + PAIRS]]))
+
+    def _keep(self, rows: slice, n: int, q: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        good = score >= np.where(self.count[rows] >= self.k, self.score[rows, -1], LEAST)[q]
+        q, vec, score = q[good], vec[good], score[good]
         if not len(q):
             return
-        held = np.arange(n)[:, None].repeat(self.k, 1)[np.arange(self.k) < self.count[rows][:, None]]
         has = np.arange(self.k) < self.count[rows][:, None]
-        q = np.r_[held, q]
-        score = np.r_[self.score[rows][has], found]
-        vec = np.r_[self.vec[rows][has], ids[c]]
+        q = np.r_[np.nonzero(has)[0], q]
+        score = np.r_[self.score[rows][has], score]
+        vec = np.r_[self.vec[rows][has], vec]
         order = np.lexsort((vec, ~score, q))  # ~x turns the order of whole numbers round without overflow
         q, score, vec = q[order], score[order], vec[order]
         first = np.searchsorted(q, np.arange(n), "left")
@@ -116,10 +146,10 @@ class Search:
         self.count[rows] = np.bincount(q[best], minlength=n)
 
     @staticmethod
-    def _products(a: np.ndarray, b: np.ndarray, paired: bool = False) -> np.ndarray:
+    def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         safe = a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2**53
         a, b = (a, b) if safe else (a.astype(np.int64), b.astype(np.int64))
-        return (np.einsum("ij,ij->i", a, b) if paired else a @ b.T).astype(np.int64)
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
 
 
 def _vectors(ids: pa.Array, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
