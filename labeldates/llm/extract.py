@@ -47,7 +47,7 @@ SCOPE = frozenset("ul ol dl table".split())
 # Roles by tag, and by the tokens of class, id, role and itemprop: whole, or by their last word that is not only a
 # container's.
 ROLES = {
-    "article": ("article", "articlebody", "post", "entry", "story", "hentry"), "main": ("main", "content", "body", "text"), "nav": ("nav", "navigation", "navbar", "menu", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager"),
+    "article": ("article", "articlebody", "post", "entry", "story", "hentry"), "main": ("main", "content", "body", "text"), "nav": ("nav", "navigation", "navbar", "menu", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager", "skip"),
     "header": ("header", "masthead", "banner", "topbar", "logo"), "footer": ("footer", "copyright", "colophon", "contentinfo"), "aside": ("aside", "sidebar", "rail", "complementary", "widget", "related", "recommended", "trending", "popular"),
     "form": ("form", "search", "login", "signup", "subscribe", "newsletter", "subscription"), "comment": ("comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "feedback", "responses", "remark", "remarks", "reactions", "guestbook"),
     "ad": ("ad", "ads", "adv", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "adsense"), "notice": ("cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "paywall", "toast"),
@@ -62,7 +62,7 @@ for _role, _words in ROLES.items():
 BY_TAG = {"article": "article", "main": "main", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "dialog": "notice", "ul": "list", "ol": "list", "dl": "list", "table": "table", "figure": "figure", "blockquote": "quote"}
 GOOD = BIT["article"] | BIT["main"]
 BAD = sum(BIT[r] for r in ("nav", "header", "footer", "aside", "form", "comment", "ad", "notice", "share", "hidden"))
-CONTAINERS = frozenset("area articles bar block body box bottom buttons cell column container content entries frame group holder icons id inner item items left links list menu news number outer pane panel posts right row section slot space stories text this thread title top unit us widget wrap wrapper zone".split())
+CONTAINERS = frozenset("area articles bar block body box bottom buttons cell column container content entries frame group holder icons id inner item items left link links list menu news number outer pane panel posts right row section slot space stories text this thread title top unit us widget wrap wrapper zone".split())
 ABSENT = frozenset("no not non without has have with is hide hides show shows toggle js enable enabled disable disabled free less".split())
 ROOTS = frozenset(("html", "body"))
 CUES = (("©", "copyright", "all rights reserved"), ("cookie", "consent", "privacy"), ("comment", "reply", "replies"), ("subscribe", "newsletter", "sign up", "log in"), ("advert", "sponsored"), ("share", "follow us"), ("read more", "related"))
@@ -311,7 +311,7 @@ def labelled(pages: int = 240, seed: int = 3) -> list[tuple[str, list[str]]]:
 
         def boiler(kind: str) -> str:
             if kind == "nav":
-                return pick(f"<nav><ul>{links(6)}</ul></nav>", f'<div class="{pick("menu", "main-nav", "navbar")}"><ul>{links(5)}</ul></div>', f'<ul id="nav">{links(4)}</ul>', f'<nav class="breadcrumbs">{link()} &gt; {link()}</nav>', f'<div role="navigation"><a href="/">{words(1, 2)}</a> {link()}</div>', f'<div class="top-menu"><div{plain()}>{link()}</div><div>{link()}</div></div>')
+                return pick(f"<nav><ul>{links(6)}</ul></nav>", f'<div class="{pick("menu", "main-nav", "navbar")}"><ul>{links(5)}</ul></div>', f'<ul id="nav">{links(4)}</ul>', f'<nav class="breadcrumbs">{link()} &gt; {link()}</nav>', f'<a class="{pick("skip-link", "skip")}" href="#m">{words(1, 3)}</a>', f'<div role="navigation"><a href="/">{words(1, 2)}</a> {link()}</div>', f'<div class="top-menu"><div{plain()}>{link()}</div><div>{link()}</div></div>')
             if kind == "header":
                 return pick(f"<header><h1>{words(1, 3)}</h1><p>{words(3, 8)}</p></header>", f'<div id="header"><a href="/">{words(1, 2)}</a></div>', f'<header class="masthead"><div class="logo">{words(1, 2)}</div></header>', f'<div class="site-header"><p>{words(2, 9)}</p><div{plain()}>{words(1, 4)}</div></div>', f'<div role="banner"><h2>{words(1, 3)}</h2></div>')
             if kind == "footer":
