@@ -128,23 +128,28 @@ def blocks(page: str, known: dict | None = None) -> list[Block]:
     where: defaultdict[str, list[int]] = defaultdict(list)  # places of the open elements of a tag
     parts: list[str] = []
     linked = silent = at = 0
+    shared = -1  # roles that all text of the block has, by inline elements too
     n = len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shared
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 tag, roles, near, _ = stack[stack[-1][3]]
+                if inner := shared & ~roles & ~BIT["link"]:
+                    roles, near = roles | inner, (inner, *near[:2])
                 out.append(Block(text, tag, roles, near, min(1.0, linked / len(text))))
             parts.clear()
-        linked = 0
+        linked, shared = 0, -1
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, shared
         if raw and not silent:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
+            if not text.isspace():
+                shared &= stack[-1][1]
             if where["a"]:
                 linked += len(text.strip())
 
