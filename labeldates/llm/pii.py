@@ -5,7 +5,8 @@ the words of a whole text as one chain; a word's features are its own shape and
 as classes, runs joined, a few cue words as themselves). It is trained from the small labelled table below, its slots
 filled by rule, and decoded by Viterbi in numpy batches. It adds numbers and addresses in other notations: national
 phone numbers, card numbers with a wrong check digit or other separators, written-out addresses ("ana (at) site (dot)
-org"). Spans that touch one of a fixed pattern are dropped; the fixed ones stay.
+org"), in the languages of the table's sentences (English, German, French, Spanish). Spans that touch one of a fixed
+pattern are dropped; the fixed ones stay.
 
 All pattern scans are linear in the text: no position is tried from inside a run that has failed from its start.
 
@@ -77,7 +78,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the CRF
 
 LABELS = ("none", *KINDS)
-CUES = ("at", "dot", "phone", "tel", "telephone", "call", "fax", "mobile", "mail", "email", "e-mail", "card", "visa", "ip", "contact", "version", "isbn", "order", "page", "year", "invoice", "com", "org", "net", "in", "on", "from")
+CUES = frozenset((
+    "at dot phone tel telephone call fax mobile mail email e-mail card visa ip contact version isbn order page year invoice com org net in on from de es fr mastercard number no "
+    "punkt telefon anrufen handy mobil karte kartennummer rechnung seite jahr adresse kontakt nummer "
+    "arobase point téléphone portable appelez carte numéro facture année adresse courriel "
+    "arroba punto teléfono móvil llame llama tarjeta número factura página año correo"
+).split())
 # The labelled table: words, each slot in braces with the label of its words. Fixed by hand; slots are filled by rule.
 SENTENCES = (
     "please call {phone} for help", "tel {phone}", "phone : {phone} or {phone}", "the office {phone} is open", "{phone}", "fax {phone} , mail {email}", "my number is {phone} .", "of the {phone} and then", "mobile {phone} ext 4",
@@ -87,6 +93,11 @@ SENTENCES = (
     "in the year {n4} there were {n2} of them", "order {n6} shipped on {date}", "page {n2} of {n3}", "version {v3} was out", "isbn {isbn}", "from {n4} to {n4}", "it cost {price} in all", "at {time} on {date}", "the {n3} , {n2} and {n1}", "invoice {n8} for {n1} items",
     "{w} {w} {w} {w} {w} .", "{w} {w} at {w} {w}", "the {w} of {w} , {w} at the {w}", "{w} dot {w} in {w}", "{W} {w} {w} . {W} {w}", "{w} | {w} | {w}", "{w}*** {w}### {w}", "room {n3} at the {w}", "token = {hex}", "{w} {hex} {w}", "{n12} {w}", "{n10} {w} {w}", "{W} {W} {W}", "{w} {n2}", "chapter {n1} {w} {n2}", "{w} at at at at at {w}", "{w} {w} at {w} at {w} {w} dot {w}", "At {w} , {w} at the {w} . {w} {w}", "call me at {phone} or mail {email} and {card} .", "{email} and {w} {w} {card} , version {v3} of {date} , {n8} {w} at {time}", "{card} {w} {email} {w} {w} {phone} {w} {w} {ip} {w}",
     "{w} {email} {W} {w} {w} at {w} {w} .", "{w} at {W} and {W} at {w} ( {w} )", "{w} ( {w} ) {w} [ {w} ] ({w}) [{w}]", "{price} or {price}", "{n20}",
+    "{w} write to {written} {w}", "mail {written} .", "{w} {w} {written} and {w}", "{written}", "{w} looks at {w} dot {w}", "meet at {W} , dot {w} {w}", "{w} dot {w} at {w} {w} .",
+    "Tel. {national} {w}", "Telefon : {national}", "ruf {national} an", "unter {national} oder {email}", "Handy {national} .", "die Nummer {national} {w}", "E-Mail : {written}", "schreib an {written} {w}", "Karte {card} {w}", "Kartennummer {card} .", "im Jahr {n4} waren es {n2} {W}", "Rechnung {n8} vom {date}", "Seite {n2} von {n3}", "{W} {w} {w} {n3} {W} .", "ISBN {isbn} {w}",
+    "Tél. {national} {w}", "téléphone : {national}", "appelez le {national} {w}", "au {national} ou {email}", "portable {national} .", "mon numéro est le {national}", "courriel : {written}", "écrivez à {written} {w}", "carte {card} {w}", "en {n4} il y avait {n2} {w}", "facture {n8} du {date}", "page {n2} sur {n3}", "{w} {w} de {n3} {w} {n1} .",
+    "Tel. {national} {w}", "teléfono : {national}", "llame al {national} {w}", "móvil {national} o {email}", "mi número es {national} .", "correo : {written}", "escriba a {written} {w}", "tarjeta {card} {w}", "en el año {n4} hubo {n2} {w}", "factura {n8} del {date}", "página {n2} de {n3}", "{w} {w} {n3} {w} y {n2} .",
+    "{national}", "call {national} now", "please call {national} {w}", "{w} {w} {big} {w} {w}", "{w} {big} {w} in {n4}", "{n2} {n2} {n2} {w}", "{n4} {n4} {w}", "{w} {n1} {n2} {n3} {w}", "{n5} {w} {n5}", "{w} at {w} at {w} dot",
 )
 
 
@@ -108,13 +119,11 @@ def shape(word: str) -> str:
     """Runs of letters as ``x`` or ``X``, of digits as ``d`` with their length, other characters as they are; cue words
     as themselves."""
     core = word.strip(".,;:!?\"'|*#$%&")
-    if (inner := core.strip("()[]")).lower() in CUES:
-        return core.lower() if core != inner else inner.lower()
+    if core.strip("()[]").lower() in CUES:
+        return core.lower()
     if core.isalpha():
         return "x"
     core = word.rstrip(".,;:!?\"'|*#$%&").lstrip("\"'|*#$%&")
-    if len(core) > 48:
-        return "long"
     out = re.sub(r"[^\W\d_]+", "x", core)
     return re.sub(r"\d+", lambda m: f"d{min(len(m[0]), 20)}", out) or "mark"
 
@@ -126,6 +135,17 @@ def _fill(slot: str, rng: np.random.Generator) -> str:
     if slot == "phone":
         a, b, c = digits(3), digits(3), digits(4)
         return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"({a}) {b} {c}")
+    if slot == "national":  # of the countries of the table's languages
+        a, b, c, d = (digits(2) for _ in range(4))
+        return pick(
+            f"0{digits(3)} {digits(6)}", f"0{digits(2)}/{digits(7)}", f"0{digits(2)} {digits(7)}", f"0{digits(3)}-{digits(7)}", f"0{digits(3)}/{digits(6)}", f"(0{digits(2)}) {digits(7)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(10)}",
+            f"0{digits(1)} {a} {b} {c} {d}", f"0{digits(1)}.{a}.{b}.{c}.{d}", f"0{digits(1)}-{a}-{b}-{c}-{d}", f"0{digits(9)}",
+            f"{pick('6', '7', '9')}{digits(2)} {digits(3)} {digits(3)}", f"{pick('6', '9')}{digits(2)} {a} {b} {c}", f"{pick('6', '9')}{digits(2)}-{digits(3)}-{digits(3)}", f"{pick('6', '9')}{digits(8)}",
+        )
+    if slot == "written":
+        a, b, c = word(), word(), pick("com", "org", "net", "de", "es", "fr", "com", word())
+        at, dot = pick(("at", "dot"), ("at", "dot"), ("at", "punkt"), ("arobase", "point"), ("arroba", "punto"), ("(at)", "(dot)"), ("[at]", "[dot]"), ("(at)", "(punkt)"), ("(arobase)", "(point)"), ("(arroba)", "(punto)"))
+        return pick(f"{a} {at} {b} {dot} {c}", f"{a} {dot} {word()} {at} {b} {dot} {c}", f"{a}{digits(2)} {at} {b} {dot} {c}", f"{a}.{word()} {at} {b}.{c}", f"{a}_{digits(1)} {at} {b} {dot} {word()} {dot} {c}")
     if slot == "email":
         a, b, c = word(), word(), pick("com", "org", "net")
         return pick(f"{a} (at) {b} (dot) {c}", f"{a} [at] {b} [dot] {c}", f"{a}@{b}.{c}", f"{a}.{digits(2)}@{b}.{c}", f"{a}(at){b}.{c}", f"{a}[at]{b}[dot]{c}")
@@ -138,11 +158,11 @@ def _fill(slot: str, rng: np.random.Generator) -> str:
         return pick(f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(4)}")
     if slot == "hex":
         return '"' + "".join(pick(*"0123456789abcdef") for _ in range(int(rng.integers(28, 41)))) + '"'
-    made = {"time": f"{digits(2)}:{digits(2)}", "price": pick(f"{digits(2)}.{digits(2)}", f"${digits(3)}", f"{digits(1)},{digits(3)}"), "v3": f"{digits(1)}.{digits(1)}.{digits(2)}", "isbn": f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", "w": word(), "W": word().capitalize()}
+    made = {"time": f"{digits(2)}:{digits(2)}", "price": pick(f"{digits(2)}.{digits(2)}", f"${digits(3)}", f"{digits(1)},{digits(3)}"), "v3": f"{digits(1)}.{digits(1)}.{digits(2)}", "isbn": f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", "w": word(), "W": word().capitalize(), "big": f"{int(rng.integers(1, 9))}{digits(int(rng.integers(0, 3)))} {digits(3)} {digits(3)}"}
     return made[slot] if slot in made else digits(int(slot[1:]))
 
 
-def labelled(copies: int = 12, seed: int = 5) -> list[tuple[list[str], list[int]]]:
+def labelled(copies: int = 9, seed: int = 5) -> list[tuple[list[str], list[int]]]:
     """The table's sentences with slots filled, as words and labels."""
     rng, rows = np.random.default_rng(seed), []
     for _ in range(copies):
@@ -154,7 +174,8 @@ def labelled(copies: int = 12, seed: int = 5) -> list[tuple[list[str], list[int]
                 if rng.random() < 0.15:
                     made[-1] += "."
                 words += made
-                labels += [LABELS.index(m[1]) if m and m[1] in LABELS else 0] * len(made)
+                label = {"national": "phone", "written": "email"}.get(m[1], m[1]) if m else ""
+                labels += [LABELS.index(label) if label in LABELS else 0] * len(made)
             rows.append((words, labels))
     return rows
 
@@ -170,7 +191,7 @@ def _ids(shapes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([shapes, *(near[k] + size * (i + 1) for i, k in enumerate((-2, -1, 1, 2))), pair(near[-1], shapes) + 5 * size, pair(shapes, near[1]) + 6 * size], axis=1)
 
 
-def train(copies: int = 12) -> crf.Crf:
+def train(copies: int = 9) -> crf.Crf:
     rows, shapes = labelled(copies), Shapes()
     lengths = np.array([len(w) for w, _ in rows])
     flat = np.array([shapes[w] for words, _ in rows for w in words])
@@ -180,7 +201,8 @@ def train(copies: int = 12) -> crf.Crf:
 
 
 CARD_GROUPS = re.compile(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}")
-WRITTEN_OUT = re.compile(r"[\w.+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
+# An address has a sign for "at" and letters on both sides, in whatever notation.
+AT_SIGN = re.compile(r"@|(?<![^\W_])(?:at|arobase|arroba)(?![^\W_])", re.I)
 _WORD = re.compile(r"\S+")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'|*#$%&,;:!?[{<", "\"'|*#$%&,;:!?.]}>"
 
@@ -223,7 +245,8 @@ def pieces(kind: str, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
     found = text[a:b]
     digits = sum(c.isdigit() for c in found)
     if kind == "email":
-        return [(kind, a + m.start(), a + m.end()) for m in WRITTEN_OUT.finditer(found)]
+        sign = AT_SIGN.search(found)
+        return [(kind, a, b)] if sign and any(map(str.isalpha, found[: sign.start()])) and any(map(str.isalpha, found[sign.end() :])) else []
     least, most = {"ip": (4, 16), "card": (13, 19), "phone": (9, 15)}[kind]
     if " " in found and (digits > most or kind == "card" and not CARD_GROUPS.fullmatch(found)):  # several numbers in a row
         return [x for m in _WORD.finditer(found) for x in pieces(kind, text, a + m.start(), a + m.end())]
@@ -231,7 +254,16 @@ def pieces(kind: str, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
 
 
 def _added(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    return [x for x in more if not any(x[1] < b and a < x[2] for _, a, b in base)]
+    """Those of ``more`` that touch none of ``base``, by one sweep over both."""
+    out, ends, i = [], sorted((a, b) for _, a, b in base), 0
+    reach = 0  # the furthest end of all that begin before the span in hand ends
+    for x in sorted(more, key=lambda x: x[2]):
+        while i < len(ends) and ends[i][0] < x[2]:
+            reach = max(reach, ends[i][1])
+            i += 1
+        if reach <= x[1]:
+            out.append(x)
+    return out
 
 
 def spans(model: crf.Crf, texts: list[str], shapes: Shapes) -> Iterator[tuple[list, list]]:

@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = ("n_chars"
     """Fit on at most ``sample`` of the labelled documents that are not held out."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    count = usable.count()
+    count = usable.agg(F.count_distinct("doc_id").alias("n")).first()["n"]
     near = usable.where(place <= F.lit(min(2**63 - 1, int(2**63 * 1.2 * (sample + 100) / max(count, 1))))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = near.orderBy(place, "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers
