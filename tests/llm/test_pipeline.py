@@ -6,8 +6,8 @@ import pytest
 from labeldates.llm import decontam, pii, quality, simhash
 from labeldates.llm.common import table
 from labeldates.llm.tokens import ByteBpe, default_paths
+from tests.llm.test_alike import reference_roots
 from tests.llm.test_search_and_packing import check_packing
-from tests.llm.test_text_operators import reference_components, reference_fingerprint
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
@@ -27,7 +27,7 @@ def test_pipeline_against_plain_python(spark):
     slim = quality.Machine(model.w0, model.w.astype(np.float32), model.v.astype(np.float32), model.mean, model.scale)
     scores = slim.score([w for w, _ in made], np.array([d for _, d in made]))
     kept = {i: t for (i, t, _), s in zip(rows, scores, strict=True) if s >= quality.THRESHOLD}
-    roots = reference_components({i: reference_fingerprint(t) for i, t in kept.items()})
+    roots = reference_roots(kept)  # the contract of stages on word shingles: five words, Jaccard similarity 0.8
     kept = {i: t for i, t in kept.items() if roots[i] == i}
     items = [(r["item_id"], decontam.normal(r["text"])) for r in table(spark, str(DATA), "benchmark").collect()]
     matcher = decontam.Matcher(items)
