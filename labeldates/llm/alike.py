@@ -12,9 +12,10 @@ How it scales. Equal sets are merged first, so copies never meet. Prefixes meet
 that a thousandth of all rows share, whose rows stay apart (``_crowded``). Of up to ``SMALL`` sets that
 share one, all pairs are candidates; of more, a few leading sets against all. Those leave the group, and a next round
 takes more leading sets against those that are not in one component with them yet, until no group is left: a large group
-of near copies costs a row per member and round, not all pairs. A candidate is compared by size and by parities: 1,024
-counters of shingles modulo two differ in at most as many places as the sets do. What passes is compared by text. None of
-this loses a pair. Nothing that grows with the rows comes to the driver (of the sample, at most ``OFTEN`` shingles do).
+of near copies costs a row per member and round, not all pairs. The first shingle that two such sets share stands among the
+first ``n - ceil(8 n / 9) + 1`` of the smaller one, so only these call for its partners. A candidate is compared by size and
+by parities: counters of shingles modulo two, about as many as shingles, differ in at most as many places as the sets do.
+What passes is compared by all its shingles. None of this loses a pair. Nothing that grows with the rows comes to the driver (of the sample, at most ``OFTEN`` shingles do).
 
 Defined cases: null text and text without words have the empty set and are alike. Text of fewer words than a shingle is
 one shingle. Null ids, repeated rows and extra columns are as in ``simhash``.
@@ -34,7 +35,8 @@ from . import common, simhash
 SHINGLE = 5
 SMALL, LEADERS, CROWD = 32, 2, 10_000
 SAMPLE, OFTEN = 10_000, 50_000
-BITS = 1024
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17
+SKETCH = 1 << 20
 PAIRS = 1 << 20
 
 
@@ -57,8 +59,14 @@ def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, order))[: n - (4 * n + 4) // 5 + 1]]
 
 
+def calls(n: int) -> int:
+    """How many shingles of the order can be the first that a set has in common with one as large or larger."""
+    return n - (8 * n + 8) // 9 + 1
+
+
 def parities(own: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    bits = min(max(LEAST_BITS, 1 << len(own).bit_length()), MOST_BITS)
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,14 +112,15 @@ def _sets(often: np.ndarray, rank: np.ndarray):
 
 def _meeting(leaders: int, small: int):
     """From rows ``token, node, n, comp``, sorted: candidates ``(null, a, b)``, and what is left of large groups ``(token,
-    node, n)``."""
+    node, n)``. ``n`` is twice the size, one more where the shingle calls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(token, a, b) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if token is None else pa.array(token), pa.array(a), pa.array(b)], names=["token", "a", "b"])
 
         def pairs(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-            good = (rows[3][i] != rows[3][j]) & (5 * np.minimum(rows[2][i], rows[2][j]) >= 4 * np.maximum(rows[2][i], rows[2][j]))
+            m, n = rows[2][i], rows[2][j]
+            good = (rows[3][i] != rows[3][j]) & (5 * (np.minimum(m, n) >> 1) >= 4 * (np.maximum(m, n) >> 1)) & (np.minimum(m, n) & 1 == 1)
             if good.any():
                 x, y = rows[1][i[good]], rows[1][j[good]]
                 yield out(None, np.minimum(x, y), np.maximum(x, y))
@@ -155,35 +164,69 @@ def _meeting(leaders: int, small: int):
 
 
 def _near_parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows ``a, b, n_a, n_b, bits_a, bits_b``: the pairs whose parities do not tell them apart. Of two lengths the
+    longer is folded to the shorter."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.array(batch.column(k).to_pylist(), object) for k in (4, 5))
+        size = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)])
+        apart = np.zeros(len(x), np.int64)
+        for m, n in np.unique(size, axis=0):
+            rows = np.flatnonzero((size == (m, n)).all(axis=1))
+            a, b = np.frombuffer(b"".join(x[rows]), np.uint8), np.frombuffer(b"".join(y[rows]), np.uint8)
+            short = min(m, n)
+            a, b = (np.bitwise_xor.reduce(v.reshape(len(rows), -1, short), axis=1) for v in (a, b))
+            apart[rows] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        yield batch.select([0, 1]).filter(pa.array(9 * apart <= batch.column(2).to_numpy() + batch.column(3).to_numpy()))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.select([0, 1]).filter(pa.array(9 * apart <= batch.column(2).to_numpy() + batch.column(3).to_numpy()))
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], names=["root", "own"])
 
 
-def _near_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, own = None, np.empty(0, np.uint64)
+def _near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if a != last:
-                last, own = a, shingles(x.as_py())
-            good.append(alike(own, shingles(y.as_py())))
+        good = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles that a thousandth of a block's prefixes hold, with their number there, and (null) the block's size. A
+    shingle with more than two thousandths of all is reported with more than one, so the sums find it."""
+    held, size = [], 0
+
+    def report() -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n > max(1, size // common.HOT_SHARE)
+        return pa.RecordBatch.from_arrays([pa.array([*token[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), size], pa.int64())], names=["token", "k"])
+
+    for batch in batches:
+        held.append(np.asarray(batch.column(0).flatten()))
+        size += len(held[-1])
+        if size >= SKETCH:
+            yield report()
+            held, size = [], 0
+    if size:
+        yield report()
+
+
 def _verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs ``(a, b)`` of sets whose similarity is 0.8 or more, as a written table."""
+    parts = int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = pairs.where("a <> b").distinct()
     for k in ("a", "b"):
         near = near.join(bits.select(F.col("root").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
     near = common.stash(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near_parities, "a long, b long"), "near-parities")
-    ends = common.stash(near.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(bits.select("root", "text_hash"), "root"), "ends")
-    ends = common.stash(texts.join(ends, "text_hash").dropDuplicates(["root"]).select("root", "text"), "texts")
-    for k in ("a", "b"):
-        near = near.join(ends.select(F.col("root").alias(k), F.col("text").alias(f"text_{k}")), k)
-    return common.stash(near.select("a", "b", "text_a", "text_b").mapInArrow(_near_texts, "a long, b long"), "links")
+    ends = near.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(bits.select("root", "text_hash"), "root")
+    ends = texts.join(common.stash(ends, "ends"), "text_hash").dropDuplicates(["root"]).select("root", "text")
+    ends = common.stash(ends.mapInArrow(_whole, "root long, own binary"), "whole-sets")
+    near = near.join(ends.select(F.col("root").alias("a"), F.col("own").alias("own_a")), "a")
+    near = near.repartition(parts, "b").join(ends.select(F.col("root").alias("b"), F.col("own").alias("own_b")), "b")
+    return common.stash(near.select("a", "b", "own_a", "own_b").mapInArrow(_near_sets, "a long, b long"), "links")
 
 
 def _by_fingerprint(bits: DataFrame, radius: int) -> DataFrame:
@@ -197,19 +240,24 @@ def _by_fingerprint(bits: DataFrame, radius: int) -> DataFrame:
     return same.union(tied.select(F.least("set_a", "set_b"), F.greatest("set_a", "set_b")))
 
 
-def _crowded(rows: DataFrame, leaders: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shingles that more than a thousandth of the rows (and ``least``) share, fewer than a thousand: which they are,
-    candidates of some leading sets of each with all others, and the rows ``(token, node, n)`` without these leaders.
-    The rows of such a shingle never meet in one task; the leaders, found by partial sums, go to them."""
-    total = rows.count()
-    found = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    found = common.stash(found.where(F.col("k") > max(total // common.HOT_SHARE, least)), "crowded")
-    mixed = F.broadcast(found.where("low <> high").select("token"))
-    lead = rows.join(mixed, "token").groupBy("token", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("place")).agg(F.min(F.struct("node", "n", "comp")).alias("x"))
-    lead = common.stash(lead.groupBy("token").agg(F.collect_list("x").alias("lead")), "leaders")
+def _crowded(counts: DataFrame, total: int, least: int) -> DataFrame:
+    """Shingles that more than a thousandth of the rows (and ``least``) share, fewer than a thousand, as a written table."""
+    return common.stash(counts.where(F.col("k") > max(total // common.HOT_SHARE, least)).select("token"), "crowded")
+
+
+def _apart(rows: DataFrame, crowded: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of crowded shingles: candidates of some leading sets of each with all others, and the rows ``(token,
+    node, n)`` without these leaders. The rows of such a shingle never meet in one task; its leaders, found by partial
+    sums, go to them. A shingle whose sets are all of one component is done."""
+    here = rows.join(F.broadcast(crowded), "token")
+    lead = here.groupBy("token", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("place")).agg(F.min(F.struct("node", "n", "comp")).alias("x"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    lead = lead.groupBy("token").agg(F.collect_list("x").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token", "lead")
+    lead = common.stash(lead, "leaders")
     met = rows.join(F.broadcast(lead), "token")
-    pairs = met.withColumn("x", F.explode("lead")).where("comp <> x.comp and 5 * least(n, x.n) >= 4 * greatest(n, x.n)")
-    return found, pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")), met.where(~F.array_contains("lead.node", F.col("node"))).select("token", "node", "n")
+    size = lambda c: F.shiftright(c, 1)
+    less, more = F.least("n", "x.n"), F.greatest("n", "x.n")
+    pairs = met.withColumn("x", F.explode("lead")).where((F.col("comp") != F.col("x.comp")) & (5 * size(less) >= 4 * size(more)) & (less % 2 == 1))
+    return pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")), met.where(~F.array_contains("lead.node", F.col("node"))).select("token", "node", "n")
 
 
 def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIUS, crowd: int = CROWD) -> DataFrame:
@@ -221,23 +269,29 @@ def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIU
     bits = made.groupBy("root").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows"))
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     bits = common.stash(bits, "distinct-sets")
-    found = _verified(_by_fingerprint(bits, radius), bits, texts)
-    roots = simhash.components(found)
+    roots = simhash.components(_verified(_by_fingerprint(bits, radius), bits, texts))
     known = lambda df: df.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     sets = known(made.select(F.col("root").alias("node"), "n", "prefix").dropDuplicates(["node"]))
-    open_, leaders = sets.select(F.explode("prefix").alias("token"), "node", "n", "comp"), LEADERS
+    shared = lambda i: F.col("n") * 2 + (i < F.col("n") - F.floor((F.col("n") * 8 + 8) / 9) + 1).cast("int")
+    open_ = sets.select(F.explode(F.transform("prefix", lambda t, i: F.struct(t.alias("token"), shared(i).cast("long").alias("n")))).alias("t"), "node", "comp").select("t.token", "node", "t.n", "comp")
+    seen = made.select("prefix").mapInArrow(_frequent, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
+    seen, leaders = common.stash(seen, "frequent"), LEADERS
+    counts, total = seen.where("token is not null"), (seen.where("token is null").first() or {"k": 0})["k"]
     while True:
-        open_ = common.stash(open_, "open")
-        crowded, pairs, left = _crowded(open_, leaders, crowd)
-        sorted_ = open_.join(F.broadcast(crowded.select("token")), "token", "left_anti").select("token", "node", "n", "comp")
-        sorted_ = sorted_.repartition(parts, "token").sortWithinPartitions("token", "node")
-        met = common.stash(sorted_.mapInArrow(_meeting(leaders, small), "token long, a long, b long"), "candidates")
-        found = found.union(_verified(met.where("token is null").select("a", "b").union(pairs), bits, texts))
-        roots = simhash.components(found)
+        crowded = _crowded(counts, total, crowd)
+        pairs, left = _apart(open_, crowded, leaders)
+        rest = open_.join(F.broadcast(crowded), "token", "left_anti").select("token", "node", "n", "comp")
+        rest = rest.repartition(parts, "token").sortWithinPartitions("token", "node")
+        met = common.stash(rest.mapInArrow(_meeting(leaders, small), "token long, a long, b long"), "candidates")
+        found = _verified(met.where("token is null").select("a", "b").union(pairs), bits, texts)
+        if not found.isEmpty():
+            roots = simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
         left = left.union(met.where("token is not null").select("token", "a", "b"))
-        if left.isEmpty():
+        open_ = common.stash(known(left).select("token", "node", "n", "comp"), "open")
+        total = open_.count()
+        if not total:
             break
-        open_ = known(left).select("token", "node", "n", "comp")
+        counts = open_.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
         leaders *= 4
     of = bits.select(F.col("root").alias("node"), F.col("rows").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
     of = common.stash(of, "set-roots")
