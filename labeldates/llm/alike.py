@@ -11,7 +11,7 @@ with the shingles that a sample shows often at the end, where prefixes seldom re
 How it scales. Equal sets are merged first, so copies never meet. Prefixes meet by shingle, except for the few shingles
 that a thousandth of all rows share, whose rows stay apart (``_crowded``). Of up to ``SMALL`` sets that
 share one, all pairs are candidates; of more, a few leading sets against all. Those leave the group, and a next round
-takes more leading sets against those that are not in one component with them yet, until no group is left: a large group
+takes many more leading sets against those that are not in one component with them yet, until no group is left: a large group
 of near copies costs a row per member and round, not all pairs. The first shingle that two such sets share stands among the
 first ``n - ceil(8 n / 9) + 1`` of the smaller one, so only these call for its partners. A candidate is compared by size and
 by parities: counters of shingles modulo two, about as many as shingles, differ in at most as many places as the sets do.
@@ -97,15 +97,18 @@ def _sets(often: np.ndarray, rank: np.ndarray):
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [simhash.shingle_values(x.as_py(), SHINGLE) for x in batch.column(2)]
-            prints = np.array([simhash.of_values(x) for x in every], np.uint64).view(np.int64)
-            own = [np.unique(x) for x in every]
-            ids = np.array([xxh64_intdigest(s.tobytes(), 42) if len(s) else 0 for s in own], dtype=np.uint64).view(np.int64)
-            firsts = [prefix(s, often, rank).view(np.int64) for s in own]
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in own], pa.int64()), pa.array([parities(s) for s in own], pa.binary()), pa.array(prints), firsts], names=[c.split()[0] for c in MADE.split(", ")])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                every = [simhash.shingle_values(x.as_py(), SHINGLE) for x in batch.column(2)]
+                prints = np.array([simhash.of_values(x) for x in every], np.uint64).view(np.int64)
+                own = [np.unique(x) for x in every]
+                ids = np.array([xxh64_intdigest(s.tobytes(), 42) if len(s) else 0 for s in own], dtype=np.uint64).view(np.int64)
+                firsts = [prefix(s, often, rank).view(np.int64) for s in own]
+                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
+                made = [batch.column(0), batch.column(1), pa.array(ids), pa.array([len(s) for s in own], pa.int64()), pa.array([parities(s) for s in own], pa.binary()), pa.array(prints), firsts]
+                yield pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in MADE.split(", ")])
 
     return run
 
@@ -292,7 +295,7 @@ def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIU
         if not total:
             break
         counts = open_.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-        leaders *= 4
+        leaders *= 32
     of = bits.select(F.col("root").alias("node"), F.col("rows").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
     of = common.stash(of, "set-roots")
     return common.join_named(made.select("doc_id", "text_hash", F.col("root").alias("node")), of, "node", made.count()).select("doc_id", "text_hash", "root")

@@ -53,6 +53,8 @@ def join_named(rows: DataFrame, named: DataFrame, key: str, total: int, how: str
     """
     cold = F.col("n") <= F.lit(max(total // HOT_SHARE, HOT_LEAST))
     hot = named.where(~cold).drop("n")
+    if hot.isEmpty():
+        return rows.join(named.drop("n"), key, how)
     here = rows.join(F.broadcast(hot), key)
     away = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.where(cold).drop("n"), key, how)
     return here.unionByName(away)

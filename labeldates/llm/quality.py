@@ -197,19 +197,21 @@ def score(docs: DataFrame, model: Machine, meta: tuple[str, ...] = ("n_chars",))
     return _inputs(docs, meta).mapInArrow(_scored(model), "doc_id long, score double")
 
 
-def _passing(model: Machine, threshold: float, columns: int):
+def _passing(model: Machine, threshold: float, text_at: int, meta_at: list[int]):
     inner = _scored(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tail = pa.RecordBatch.from_arrays(batch.columns[columns:], names=batch.schema.names[columns:])
-            scores = np.concatenate([np.asarray(x.column(1)) for x in inner(iter([tail]))] + [np.empty(0)])
-            yield pa.RecordBatch.from_arrays(batch.columns[:columns], names=batch.schema.names[:columns]).filter(pa.array(scores >= threshold))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                columns = [part.column(text_at), part.column(text_at).cast(pa.string()), *[part.column(i).cast(pa.float64()) for i in meta_at]]
+                scores = np.concatenate([np.asarray(x.column(1)) for x in inner(iter([pa.RecordBatch.from_arrays(columns, names=list(map(str, range(len(columns)))))]))] + [np.empty(0)])
+                yield part.filter(pa.array(scores >= threshold))
 
     return run
 
 
 def keep_good(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, meta: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """The rows of ``docs``, all columns, that score the threshold at least; no join by id, so repeated ids are safe."""
-    inputs = [F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *[F.col(c).cast("double").alias(f"__meta_{i}") for i, c in enumerate(meta)]]
-    return docs.select("*", *inputs).mapInArrow(_passing(model, threshold, len(docs.columns)), docs.schema)
+    at = docs.columns.index
+    return docs.mapInArrow(_passing(model, threshold, at("text"), [at(c) for c in meta]), docs.schema)

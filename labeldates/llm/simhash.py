@@ -243,7 +243,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = common.join_named(both.where("v > u"), least, "u", 2 * now["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = common.stash(large.distinct(), label)
         least = common.stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), label)
-        down = common.join_named(large, least, "u", large.count())
+        down = common.join_named(large, least, "u", now["n"])
         edges = common.stash(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), label)
         now = state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
