@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 SHINGLE = 5
-SMALL, LEADERS, CROWD = 32, 2, 10_000
+SMALL, LEADERS, CROWD = 32, 2, 500
 SAMPLE, OFTEN = 10_000, 50_000
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17
 SKETCH = 1 << 20

@@ -28,10 +28,7 @@ class ByteBpe:
 
     def __init__(self, json_path: str, ranks_path: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(json_path)
-        self.fast = None
+        self.json_path, self.full, self.fast = json_path, None, None
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -53,4 +50,8 @@ class ByteBpe:
             return []
         if self.fast is not None and SPECIAL not in text and not BEYOND_LATIN.search(text) and not LONG_SPACE.search(text):
             return self.fast.encode_ordinary(text)
+        if self.full is None:  # some 100 MB, which most workers never need
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.json_path)
         return self.full.encode(text, add_special_tokens=False).ids
