@@ -47,13 +47,13 @@ def rank(answer: Column) -> Column:
     return F.when(n == 3, F.when(is_weak(answer), 1).otherwise(0)).when(n > 0, 2)
 
 
-def best_answers(answers: DataFrame, key: str = "image_id", stage: str = "stage", answer: str = "answer") -> DataFrame:
+def best_answers(answers: DataFrame, key: str = "image_id", stage: str = "stage", answer: str = "answer", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per image with any answer: sound before weak before partial; partial ones by what they fill; then the
-    earlier stage. One shuffle by image, reduced on the map side."""
+    earlier stage. One shuffle by image, reduced on the map side. ``keep`` names further columns of the best row."""
     r = rank(F.col(answer))
     order = F.struct(r.alias("rank"), F.when(r == 2, -filled(F.col(answer))).otherwise(0).alias("less"), F.col(stage).alias("stage"))
-    best = answers.where(r.isNotNull()).groupBy(key).agg(F.min_by(F.struct(F.col(stage).alias("stage"), F.col(answer).alias("answer"), r.alias("rank")), order).alias("b"))
-    return best.select(key, F.col("b.stage").alias(stage), F.col("b.answer").alias(answer), (F.col("b.rank") == 1).alias("weak"))
+    best = answers.where(r.isNotNull()).groupBy(key).agg(F.min_by(F.struct(F.col(stage).alias("stage"), F.col(answer).alias("answer"), r.alias("rank"), *keep), order).alias("b"))
+    return best.select(key, F.col("b.stage").alias(stage), F.col("b.answer").alias(answer), (F.col("b.rank") == 1).alias("weak"), *[F.col(f"b.{c}") for c in keep])
 
 
 def every_image(ids: DataFrame, best: DataFrame, key: str = "image_id") -> DataFrame:
@@ -61,7 +61,7 @@ def every_image(ids: DataFrame, best: DataFrame, key: str = "image_id") -> DataF
     return ids.select(key).join(best, key, "left")
 
 
-def run_stages(ids: DataFrame, texts: Callable[[DataFrame, int], DataFrame], order: tuple[int, ...] = stages(), key: str = "image_id", policy: Policy = DEFAULT, go_on: Callable[[int], bool] | None = None) -> DataFrame:
+def run_stages(ids: DataFrame, texts: Callable[[DataFrame, int], DataFrame], order: tuple[int, ...] = stages(), key: str = "image_id", policy: Policy = DEFAULT, go_on: Callable[[int], bool] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stage by stage, each only for images without a sound answer so far.
 
     ``texts(open, stage)`` gives ``key, text`` of the open images. ``go_on(stage)``, asked before each stage past the
@@ -73,13 +73,13 @@ def run_stages(ids: DataFrame, texts: Callable[[DataFrame, int], DataFrame], ord
     for stage in order:
         if done is not None and go_on is not None and not go_on(stage):
             break
-        read = read_dates(texts(open_, stage), crop=crops.get(stage, False), policy=policy).select(key, F.lit(stage).alias("stage"), "answer")
+        read = read_dates(texts(open_, stage), crop=crops.get(stage, False), policy=policy).select(key, F.lit(stage).alias("stage"), "answer", *keep)
         read = stash(read, f"stage-{stage}")
         done = read if done is None else done.unionByName(read)
         open_ = stash(open_.join(read.where(rank(F.col("answer")) == 0).select(key).distinct(), key, "left_anti"), "open")
         if open_.isEmpty():
             break
-    return best_answers(done, key)
+    return best_answers(done, key, keep=keep)
 
 
 def regions(detections: DataFrame, key: str = "image_id") -> DataFrame:
@@ -107,5 +107,5 @@ def labels_of_stages(answers: DataFrame, text: str | None = None) -> DataFrame:
     """The answers with their stage's name, weak ones marked, and at most 300 characters of text: for looking at."""
     names = F.create_map(*[F.lit(x) for n, name, _ in STAGES for x in (n, name)])
     route = F.concat(F.coalesce(F.try_element_at(names, F.col("stage")), F.lit("none")), F.when(F.col("weak"), F.lit("(weak)")).otherwise(F.lit("")))
-    out = answers.withColumn("route", route)
+    out = answers.withColumn("route", F.when(F.col("stage").isNull(), "none").otherwise(route))
     return out.withColumn("text", F.substring(text, 1, 300)) if text else out

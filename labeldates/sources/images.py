@@ -24,13 +24,13 @@ def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = BATCH_SUF
     return files.select(file_stem(F.col("path")).alias("image_id"), "path", "length", "modificationTime", *(["content"] if content else []))
 
 
-def scan_or_all(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = BATCH_SUFFIXES) -> DataFrame:
+def scan_or_all(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = BATCH_SUFFIXES, content: bool = True) -> DataFrame:
     """As ``scan``; all files with a dot in their name where none has one of the suffixes."""
-    found = scan(spark, folder, suffixes)
+    found = scan(spark, folder, suffixes, content=content)
     if not found.select("path").isEmpty():
         return found
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.*").load(folder)
-    return files.select(file_stem(F.col("path")).alias("image_id"), "path", "length", "modificationTime", "content")
+    return files.select(file_stem(F.col("path")).alias("image_id"), "path", "length", "modificationTime", *(["content"] if content else []))
 
 
 def scan_collection(spark: SparkSession, folder: str, output: str | None = None, suffixes: tuple[str, ...] = COLLECTION_SUFFIXES) -> DataFrame:
