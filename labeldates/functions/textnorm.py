@@ -75,10 +75,9 @@ def compatibility_form(text: Column) -> Column:
     return F.when(~text.rlike("[^\\x00-\\x7F가-힣]"), text).when(~text.rlike(odd), text).otherwise(F.when(out.rlike(odd), spread).otherwise(out))
 
 
-# Characters that a recognizer takes for digits, and those digits. Fixed values.
-CONFUSED = {"0": "OoDQCU", "1": "lIi|!][", "2": "Zz그고", "3": "E", "4": "A", "5": "Ss", "6": "bG", "7": "T", "8": "B", "9": "qg"}
-CONFUSED_FROM = "".join(CONFUSED.values())
-CONFUSED_TO = "".join(d * len(cs) for d, cs in CONFUSED.items())
+# Characters that a recognizer takes for digits, and below each its digit. Fixed values.
+CONFUSED_FROM = "OoDQCUlIi|!][Zz그고EASsbGTBqg"
+CONFUSED_TO = "000000111111122223455667899"
 _ANY = "[0-9" + "".join("\\" + c if c in "|!][" else c for c in CONFUSED_FROM) + "]"
 DATE_LIKE = rf"(?U)(?<![A-Za-z가-힣]){_ANY}{{1,4}}(?:[.\-/:,~\s]+{_ANY}{{1,4}}){{1,2}}(?![A-Za-z])"
 

@@ -244,6 +244,18 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), cls.alias("cls"), x.alias("x1"), y.alias("y1"), (x + q).alias("x2"), (y + q).alias("y2"), (F.col("l_discount") + F.col("l_extendedprice") / 1e6).alias("conf"))
 
 
+# Words before a date that refer to another place, and words that do not.
+ELSEWHERE = ("상단 표기", "상단에 기재", "상단 별도", "하단 표기", "하단에 기재일", "하단 별도 라벨", "별도 표기", "별도기재", "뒷면 표시", "뒷면에 표기", "뒷면 기재", "표시일까지", "표기일 전", "상단 참조", "별도 포장", "뒷면 별도", "표시 까지", "기재일까지")
+
+
+@query("q_k15_elsewhere", f"""SELECT o_orderkey, o_orderkey % {len(ELSEWHERE)} < 13 AS has_reference_phrase, o_orderkey % 3 = 0 AS has_relative_expr FROM orders""")
+def q_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.get(F.array(*map(F.lit, ELSEWHERE)), (F.col("o_orderkey") % len(ELSEWHERE)).cast("int"))
+    period = F.get(F.array(*map(F.lit, (" 구입 후 12개월 이내", " 구입 후 사용", " 제조일자"))), (F.col("o_orderkey") % 3).cast("int"))
+    found = choose.diagnosis(F.concat(F.lit("소비기한 "), phrase, period))
+    return table(spark, sf_dir, "orders").select("o_orderkey", found["has_reference_phrase"].alias("has_reference_phrase"), found["has_relative_expr"].alias("has_relative_expr"))
+
+
 # --- geometry
 
 @query("q_g7_padded_box", """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey::DOUBLE AS x1, l_suppkey::DOUBLE AS y1, l_partkey + l_quantity * 3 AS x2, l_suppkey + l_quantity AS y2 FROM lineitem),
@@ -337,18 +349,40 @@ def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.array(word).alias("h"))
 
 
-@query("q_g17_near_hashes", """WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings)
-    SELECT a.vec_id AS left_id, b.vec_id AS right_id, hamming(a.b, b.b)::INTEGER AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND hamming(a.b, b.b) <= 10""")
+def altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hashes under other ids, their last bits turned: as many as the id's remainder by 14."""
+    turned = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("image_id") % 14).cast("int")) - 1
+    return signs(spark, sf_dir).select((F.col("image_id") + 1_000_000_000).alias("image_id"), F.transform("h", lambda w: w.bitwiseXOR(turned)).alias("h"))
+
+
+HASHES = """h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings),
+    o AS (SELECT h.vec_id + 1000000000 AS vec_id, left(h.b, (64 - h.vec_id % 14)::INT) || CASE WHEN h.vec_id % 14 > 0 THEN translate(right(h.b, (h.vec_id % 14)::INT), '01', '10') ELSE '' END AS b FROM h)"""
+
+
+@query("q_g17_near_hashes", f"WITH {HASHES} SELECT h.vec_id AS left_id, o.vec_id AS right_id, hamming(h.b, o.b)::INTEGER AS distance FROM h JOIN o ON hamming(h.b, o.b) <= 10")
 def q_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = signs(spark, sf_dir)
-    return sampling.near_pairs(h, h, most=10, bits=64).where("left_id < right_id")
+    return sampling.near_pairs(signs(spark, sf_dir), altered(spark, sf_dir), most=10, bits=64)
+
+
+@query("q_j8_nearest_used", f"""WITH {HASHES}, d AS (SELECT h.vec_id AS image_id, o.vec_id AS near_id, hamming(h.b, o.b)::INTEGER AS distance FROM h JOIN o ON hamming(h.b, o.b) <= 12)
+    SELECT image_id, near_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance, near_id) AS n FROM d) WHERE n = 1""")
+def q_nearest_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.nearest_used(signs(spark, sf_dir), altered(spark, sf_dir), most=12, bits=64)
+
+
+@query("q_g16_hash_bits", """WITH p AS (SELECT o_orderkey, list_transform(range(256), lambda i: ((o_orderkey * 31 + i * i * 7) % 256)::DOUBLE) AS x FROM orders)
+    SELECT o_orderkey AS image_id, w.j::INTEGER AS word, list_sum(list_transform(list_slice(x, w.j * 64 + 1, w.j * 64 + 64), lambda v: (v > list_avg(x))::INT))::INTEGER AS above FROM p, (SELECT unnest(range(4)) AS j) w""")
+def q_hash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((F.col("o_orderkey") * 31 + i * i * 7) % 256).cast("double"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.posexplode(geometry.hash_bits(pixels)).alias("word", "w"))
+    return rows.select("image_id", "word", F.bit_count("w").alias("above"))
 
 
 @query("q_j6_far_from_used", """WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings)
-    SELECT vec_id AS image_id FROM h a WHERE vec_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM h u WHERE u.vec_id % 3 = 1 AND hamming(a.b, u.b) <= 8)""")
+    SELECT vec_id AS image_id FROM h a WHERE vec_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM h u WHERE u.vec_id % 3 <> 0 AND hamming(a.b, u.b) <= 8)""")
 def q_far_from_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = signs(spark, sf_dir)
-    return sampling.far_from(h.where("image_id % 3 = 0"), h.where("image_id % 3 = 1"), most=8, bits=64).select("image_id")
+    return sampling.far_from(h.where("image_id % 3 = 0"), h.where("image_id % 3 <> 0"), most=8, bits=64).select("image_id")
 
 
 # --- scores
@@ -390,6 +424,26 @@ def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.summary(score_rows(spark, sf_dir))
 
 
+@query("q_e5_exact_of_answered", f"""WITH {scores_sql(3, 's')}, c AS (SELECT oy AND om AND od AND (k + 3) % 5 <> 0 AS exact, (k + 3) % 5 <> 0 AS covered FROM s)
+    SELECT avg(covered::INT) AS coverage, avg(exact::INT) AS exact, sum((exact AND covered)::INT)::DOUBLE / sum(covered::INT) AS exact_of_answered FROM c""")
+def q_exact_of_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With predictions that have no field at all: those count for the exact share, but not for that of the answered."""
+    p = predicted(spark, sf_dir, 3).withColumn("month", F.when(F.col("year") == "NONE", "NONE").otherwise(F.col("month")))
+    t = evaluation.done(evaluation.normalized(labelled(spark, sf_dir), evaluation.BLANK_LABEL))
+    return evaluation.summary(evaluation.scored(t.join(p, "image_id", "left_semi"), evaluation.normalized(p))).select("coverage", "exact", "exact_of_answered")
+
+
+@query("q_e3_restricted", """SELECT 'fewer' AS predictions, count(*)::BIGINT AS n FROM customer WHERE c_custkey % 17 <> 0 AND (c_custkey + 3) % 10 <> 0
+    UNION ALL SELECT 'as many', count(*)::BIGINT FROM customer WHERE c_custkey % 17 <> 0 UNION ALL SELECT 'as many, always', count(*)::BIGINT FROM customer WHERE c_custkey % 17 <> 0 AND (c_custkey + 3) % 10 <> 0""")
+def q_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are restricted to the predicted ids where there are fewer predictions than labels, or always on request."""
+    t = evaluation.done(evaluation.normalized(labelled(spark, sf_dir), evaluation.BLANK_LABEL))
+    few = evaluation.normalized(predicted(spark, sf_dir, 3))
+    many = few.unionByName(few.withColumn("image_id", F.concat(F.lit("other"), "image_id")))
+    n = lambda name, rows: rows.agg(F.lit(name).alias("predictions"), F.count(F.lit(1)).alias("n"))
+    return n("fewer", evaluation.restricted(t, few)).unionByName(n("as many", evaluation.restricted(t, many))).unionByName(n("as many, always", evaluation.restricted(t, many, always=True)))
+
+
 @query("q_e7_by_group", f"WITH {scores_sql(3, 's')} SELECT coalesce(grp, 'all') AS grp, {MEASURES} FROM s GROUP BY ROLLUP (grp) HAVING coalesce(grp, 'all') <> 'F'")
 def q_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.by_group(score_rows(spark, sf_dir))
@@ -423,7 +477,7 @@ def q_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_e12_least_effect", "SELECT n_nationkey AS k, 2.8016::DOUBLE * 26.1::DOUBLE / sqrt(n_nationkey + 1) AS points FROM nation")
 def q_least_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), (F.lit(2.8016 * 26.1) / F.sqrt(F.col("n_nationkey") + 1)).alias("points"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), evaluation.least_effect(F.col("n_nationkey") + 1).alias("points"))
 
 
 @query("q_e_bootstrap")
@@ -529,10 +583,9 @@ def q_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_a6_top_two", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2")
 def q_top_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    best = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(best)).where("n <= 2").select("o_custkey", "o_orderkey", "o_totalprice")
+    """Orders as boxes: the two surest of an image, equal ones by their place."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.lit("full").alias("cls"), F.col("o_orderkey").alias("x1"), F.col("o_totalprice").alias("y1"), F.lit(0.0).alias("x2"), F.lit(0.0).alias("y2"), F.col("o_totalprice").alias("conf"))
+    return cascade.regions(orders, "o_custkey").select("o_custkey", F.col("x1").cast("long").alias("o_orderkey"), F.col("y1").alias("o_totalprice"))
 
 
 # --- sources
@@ -544,6 +597,13 @@ def q_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.complete_submission(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id")), found)
 
 
+@query("q_s4_listed", "SELECT doc_id::VARCHAR AS image_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def q_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the images of a list, which names some twice and some that are not there."""
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("image_id"))
+    return image_source.only(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id"), "n_chars"), ids.union(ids).union(ids.select(F.concat("image_id", F.lit("x")))))
+
+
 @query("q_s13_appended", "SELECT 'cust_' || lpad((c + row_number() OVER (ORDER BY src))::VARCHAR, 4, '0') AS image_id, src AS src_file FROM (SELECT 'f' || lpad(doc_id::VARCHAR, 9, '0') AS src, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS c FROM documents WHERE doc_id % 2 = 1)")
 def q_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("src_file"))
