@@ -352,7 +352,8 @@ def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def altered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hashes under other ids, their last bits turned: as many as the id's remainder by 14."""
     turned = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("image_id") % 14).cast("int")) - 1
-    return signs(spark, sf_dir).select((F.col("image_id") + 1_000_000_000).alias("image_id"), F.transform("h", lambda w: w.bitwiseXOR(turned)).alias("h"))
+    rows = signs(spark, sf_dir).withColumn("h", F.transform("h", lambda w: w.bitwiseXOR(turned)))
+    return rows.withColumn("image_id", F.col("image_id") + 1_000_000_000)
 
 
 HASHES = """h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS b FROM embeddings),
