@@ -4,9 +4,9 @@ Fixed patterns find assignments to secret-like names, access key ids and long he
 characters and more of the base64 and identifier alphabets, outside what an assignment covers, are scored by two
 first-order Markov models of characters, one of random strings and one of ordinary identifiers and words; a run whose
 log-likelihood ratio is high enough, in all and by character, is a span of kind ``random``, unless it holds an access key
-id or hexadecimal run. The models are trained from labelled samples, which are themselves rows of a DataFrame made by rule
+id or hexadecimal run, or is a UUID, which names things and hides nothing. The models are trained from labelled samples, which are themselves rows of a DataFrame made by rule
 (random: digests in several encodings; ordinary: words of a small list joined in the usual styles, paths, ruled lines,
-repeated characters, UUIDs, times and numbers); the trained table has 67 x 67 entries whatever the input.
+repeated characters, times and numbers); the trained table has 67 x 67 entries whatever the input.
 
 Positions are code points. ``split`` gives the gaps between matches and ``regexp_extract_all`` the matches, so a span
 starts at the sum of the lengths before it; sums are taken in chunks of ``CHUNK`` matches, and a run is scored over its own
@@ -27,6 +27,7 @@ ASSIGN_HEAD = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a whole run of the pattern AKIA[A-Z0-9]+ that is long enough: 20 characters with AKIA
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+UUID = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 LEAST_VALUE = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
@@ -75,7 +76,7 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     coded = F.base64(F.unhex(digest))
     thirty_six = F.concat(*[F.conv(F.substring(digest, k, 12), 16, 36) for k in (1, 13, 25)])
-    noise = F.array(coded, F.translate(coded, "+/=", "-_"), F.translate(coded, "+/=", "xYz"), F.upper(F.substring(digest, 1, 32)), thirty_six, F.lower(thirty_six))
+    noise = F.array(coded, F.translate(coded, "+/=", "-_"), F.translate(coded, "+/=", "xYz"), F.upper(F.substring(digest, 1, 32)), F.upper(F.substring(digest, 33, 32)), thirty_six, F.lower(thirty_six))
     words = F.array(*map(F.lit, WORDS))
     number = lambda salt, below: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(below)).cast("int")
     word = lambda salt: F.element_at(words, number(salt, len(WORDS)) + 1)
@@ -83,13 +84,11 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     joined = [F.concat_ws("_", *three), F.upper(F.concat_ws("_", *three)), F.concat(three[0], *map(F.initcap, three[1:])), F.concat_ws("-", *three), F.concat_ws("/", *three), F.concat(*map(F.initcap, three)), F.concat(*three), F.concat_ws("_", *three, number(9, 100).cast("string"))]
     repeated = F.repeat(F.substring(F.lit(ALPHABET), F.col("id").cast("int") % len(ALPHABET) + 1, F.lit(1)), F.lit(24))
     ruled = F.repeat(F.element_at(F.array(*map(F.lit, ("-", "=", "_", "/", "-=", "=-", "+-", "--+", "_-"))), number(3, 9) + 1), F.lit(30))
-    part = lambda a, k: F.substring(digest, a, k)
-    uuid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
     when = F.concat(F.lpad(number(4, 10000).cast("string"), 4, "0"), F.lit("-"), F.lpad(number(5, 12).cast("string"), 2, "0"), F.lit("-"), F.lpad(number(6, 28).cast("string"), 2, "0"))
     digits = F.translate(F.substring(digest, 1, 24), "abcdef", "012345")
-    plain = F.array(*joined, *joined, repeated, ruled, uuid, F.upper(uuid), F.concat_ws("_", three[0], when), F.concat_ws("-", when, when), digits, F.concat_ws("/", three[0], digits), F.substring(F.lit(ALPHABET), number(7, len(ALPHABET) - 24) + 1, F.lit(24)))
+    plain = F.array(*joined, *joined, repeated, ruled, F.concat_ws("_", three[0], when), F.concat_ws("-", when, when), digits, F.concat_ws("/", three[0], digits), F.substring(F.lit(ALPHABET), number(7, len(ALPHABET) - 24) + 1, F.lit(24)))
     pick = lambda of, k: F.element_at(of, F.pmod(F.col("id"), F.lit(k)).cast("int") + 1)
-    return ids.select(F.lit(True).alias("random"), pick(noise, 6).alias("text")).unionAll(ids.select(F.lit(False), pick(plain, 25)))
+    return ids.select(F.lit(True).alias("random"), pick(noise, 7).alias("text")).unionAll(ids.select(F.lit(False), pick(plain, 23)))
 
 
 def _code(c: Column) -> Column:
@@ -129,7 +128,7 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     marked = F.transform(F.col("assign_all"), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), counts(i).alias("counts")))
     fixed = F.array_sort(F.concat(kind("assign", F.filter(marked, lambda s: s["counts"])), kind("access", F.col("access")), kind("hex", F.col("hex"))))
     based = found.select("doc_id", fixed.alias("fixed"), bare.alias("bare")).select("doc_id", "fixed", _hits(F.col("bare"), RUN).alias("runs"))
-    free = F.filter(F.col("runs"), lambda r: ~r["s"].rlike(f"{ACCESS}|{HEX}"))
+    free = F.filter(F.col("runs"), lambda r: ~r["s"].rlike(f"{ACCESS}|{HEX}|{UUID}"))
     step = lambda acc, c: F.struct((acc["llr"] + F.when(acc["last"] >= 0, F.get(ratio, acc["last"] * SIDE + _code(c))).otherwise(0.0)).alias("llr"), _code(c).alias("last"))
     scored = F.transform(free, lambda r: F.struct(
         r["a"].alias("a"), r["b"].alias("b"),
