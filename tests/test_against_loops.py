@@ -162,7 +162,7 @@ def aliased(t):
 
 
 def repaired(t):
-    table = {c: d for d, cs in textnorm.CONFUSED.items() for c in cs}
+    table = {"O": "0", "o": "0", "D": "0", "Q": "0", "C": "0", "U": "0", "l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "]": "1", "[": "1", "Z": "2", "z": "2", "그": "2", "고": "2", "E": "3", "A": "4", "S": "5", "s": "5", "b": "6", "G": "6", "T": "7", "B": "8", "q": "9", "g": "9"}
     t = re.sub(textnorm.DATE_LIKE.removeprefix("(?U)"), lambda m: "".join(table.get(c, c) for c in m[0]), unicodedata.normalize("NFKC", t))
     return re.sub(r"(?<=\d)[:~](?=\d{1,2}(?!\d))", ".", t)
 
