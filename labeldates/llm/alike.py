@@ -85,7 +85,7 @@ def _often(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     one keeps groups small."""
     share = max(1, docs.count() // SAMPLE)
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    rows = rows.mapInArrow(_values, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 8").orderBy(F.desc("n"), "token").limit(OFTEN)
+    rows = rows.transform(common.in_arrow, _values, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 8").orderBy(F.desc("n"), "token").limit(OFTEN)
     found = rows.collect()
     often = np.array([r["token"] for r in found], dtype=np.int64).view(np.uint64)
     rank = np.array([r["n"] for r in found], dtype=np.int64)
@@ -223,13 +223,13 @@ def _verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     near = pairs.where("a <> b").distinct()
     for k in ("a", "b"):
         near = near.join(bits.select(F.col("root").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
-    near = common.stash(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near_parities, "a long, b long"), "near-parities")
+    near = common.stash(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").transform(common.in_arrow, _near_parities, "a long, b long"), "near-parities")
     ends = near.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(bits.select("root", "text_hash"), "root")
     ends = texts.join(common.stash(ends, "ends"), "text_hash").dropDuplicates(["root"]).select("root", "text")
-    ends = common.stash(ends.mapInArrow(_whole, "root long, own binary"), "whole-sets")
+    ends = common.stash(ends.transform(common.in_arrow, _whole, "root long, own binary"), "whole-sets")
     near = near.join(ends.select(F.col("root").alias("a"), F.col("own").alias("own_a")), "a")
     near = near.repartition(parts, "b").join(ends.select(F.col("root").alias("b"), F.col("own").alias("own_b")), "b")
-    return common.stash(near.select("a", "b", "own_a", "own_b").mapInArrow(_near_sets, "a long, b long"), "links")
+    return common.stash(near.select("a", "b", "own_a", "own_b").transform(common.in_arrow, _near_sets, "a long, b long"), "links")
 
 
 def _by_fingerprint(bits: DataFrame, radius: int) -> DataFrame:
@@ -268,7 +268,7 @@ def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIU
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    made = common.stash(rows.mapInArrow(_sets(*_often(docs)), MADE), "shingle-sets")
+    made = common.stash(rows.transform(common.in_arrow, _sets(*_often(docs)), MADE), "shingle-sets")
     bits = made.groupBy("root").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows"))
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     bits = common.stash(bits, "distinct-sets")
@@ -277,7 +277,7 @@ def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIU
     sets = known(made.select(F.col("root").alias("node"), "n", "prefix").dropDuplicates(["node"]))
     shared = lambda i: F.col("n") * 2 + (i < F.col("n") - F.floor((F.col("n") * 8 + 8) / 9) + 1).cast("int")
     open_ = sets.select(F.explode(F.transform("prefix", lambda t, i: F.struct(t.alias("token"), shared(i).cast("long").alias("n")))).alias("t"), "node", "comp").select("t.token", "node", "t.n", "comp")
-    seen = made.select("prefix").mapInArrow(_frequent, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
+    seen = made.select("prefix").transform(common.in_arrow, _frequent, "token long, k long").groupBy("token").agg(F.sum("k").alias("k"))
     seen, leaders = common.stash(seen, "frequent"), LEADERS
     counts, total = seen.where("token is not null"), (seen.where("token is null").first() or {"k": 0})["k"]
     while True:
@@ -285,7 +285,7 @@ def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIU
         pairs, left = _apart(open_, crowded, leaders)
         rest = open_.join(F.broadcast(crowded), "token", "left_anti").select("token", "node", "n", "comp")
         rest = rest.repartition(parts, "token").sortWithinPartitions("token", "node")
-        met = common.stash(rest.mapInArrow(_meeting(leaders, small), "token long, a long, b long"), "candidates")
+        met = common.stash(rest.transform(common.in_arrow, _meeting(leaders, small), "token long, a long, b long"), "candidates")
         found = _verified(met.where("token is null").select("a", "b").union(pairs), bits, texts)
         if not found.isEmpty():
             roots = simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))

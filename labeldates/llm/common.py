@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE, HOT_LEAST = 1000, 100
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of a few megabytes, however long the texts are: task and Python worker both hold a batch,
+    and by default it may have 64 MB. The size is the session's setting from then on, as the plan reads it when it runs;
+    one that is set already stays. A row is never cut: a longer text is a batch of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def join_named(rows: DataFrame, named: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined by ``key`` with ``named``, which has a row per key and in ``n`` how many of ``total`` rows have it.
 

@@ -211,7 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     count, blocks = _blocks(benchmark)
     for items in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(items)
-        part = rows.mapInArrow(_matching(sent, rate), SCHEMA)
+        part = rows.transform(common.in_arrow, _matching(sent, rate), SCHEMA)
         if count > 1:
             part = common.stash(part, "matches")
             sent.destroy()
@@ -233,7 +233,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     count, blocks = _blocks(benchmark)
     for items in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.mapInArrow(_clean(sent, rate, docs.columns.index("text")), docs.schema)
+        docs = docs.transform(common.in_arrow, _clean(sent, rate, docs.columns.index("text")), docs.schema)
         if count > 1:
             docs = common.stash(docs, "clean")
             sent.destroy()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import crf
+from . import common, crf
 
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ROUGH = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -416,4 +416,4 @@ def _extracting(model: crf.Crf):
 
 def main_text(pages: DataFrame, model: crf.Crf | None = None) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extracting(model or train()), "page_id long, url string, text string, n_chars long")
+    return rows.transform(common.in_arrow, _extracting(model or train()), "page_id long, url string, text string, n_chars long")

@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_json: str | None = None, ranks: str | None =
     if tokenizer_json is None:
         tokenizer_json, ranks = default_paths()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packed(tokenizer_json, ranks, tuple(tiers), end_id, with_ids), SCHEMA + ", ids array<int>" * with_ids)
+    return rows.transform(common.in_arrow, _packed(tokenizer_json, ranks, tuple(tiers), end_id, with_ids), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def balance(pieces: DataFrame, group_tokens: int = GROUP_TOKENS) -> DataFrame:

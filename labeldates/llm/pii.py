@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import crf
+from . import common, crf
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -304,7 +304,7 @@ def _scan(model: crf.Crf):
 
 
 def scan(docs: DataFrame, model: crf.Crf | None = None) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(model or train()), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(common.in_arrow, _scan(model or train()), SCHEMA)
 
 
 def mask(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -337,4 +337,4 @@ def masked(docs: DataFrame, model: crf.Crf | None = None) -> DataFrame:
     """``docs`` with its columns, personal data in ``text`` replaced by the name of its kind, ``n_chars`` brought up to
     date where the text has changed."""
     names = docs.columns
-    return docs.mapInArrow(_mask(model or train(), names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
+    return docs.transform(common.in_arrow, _mask(model or train(), names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)

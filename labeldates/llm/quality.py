@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SAMPLE = 6000
 BUCKETS = 1 << 15
 RANK = 8
@@ -170,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = ("n_chars"
     picked = near.orderBy(place, "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers
     chosen = _inputs(docs, meta).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"), *[F.min(f"meta_{i}").alias(f"meta_{i}") for i in range(len(meta))])
-    rows = chosen.select("doc_id", "text", *[f"meta_{i}" for i in range(len(meta))], "quality").mapInArrow(_featured, "doc_id long, quality int, words array<int>, dense array<double>").toArrow()
+    rows = chosen.select("doc_id", "text", *[f"meta_{i}" for i in range(len(meta))], "quality").transform(common.in_arrow, _featured, "doc_id long, quality int, words array<int>, dense array<double>").toArrow()
     rows = rows.sort_by("doc_id")
     words = [np.asarray(x.values, dtype=np.int32) for x in rows.column("words").combine_chunks()] if rows.num_rows else []
     dense = np.array(rows.column("dense").to_pylist(), dtype=float).reshape(len(words), STATS + 2 * len(meta))
@@ -194,7 +196,7 @@ def _scored(model: Machine):
 
 
 def score(docs: DataFrame, model: Machine, meta: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    return _inputs(docs, meta).mapInArrow(_scored(model), "doc_id long, score double")
+    return _inputs(docs, meta).transform(common.in_arrow, _scored(model), "doc_id long, score double")
 
 
 def _passing(model: Machine, threshold: float, text_at: int, meta_at: list[int]):
@@ -214,4 +216,4 @@ def _passing(model: Machine, threshold: float, text_at: int, meta_at: list[int])
 def keep_good(docs: DataFrame, model: Machine, threshold: float = THRESHOLD, meta: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """The rows of ``docs``, all columns, that score the threshold at least; no join by id, so repeated ids are safe."""
     at = docs.columns.index
-    return docs.mapInArrow(_passing(model, threshold, at("text"), [at(c) for c in meta]), docs.schema)
+    return docs.transform(common.in_arrow, _passing(model, threshold, at("text"), [at(c) for c in meta]), docs.schema)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .tokens import ByteBpe, default_paths
 
 KEY = ("source", "lang", "tokenizer_version")
@@ -49,7 +50,7 @@ def token_counts(docs: DataFrame, version: str, tokenizer_json: str | None = Non
     if tokenizer_json is None:
         tokenizer_json, ranks = default_paths()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_counting(tokenizer_json, ranks), "doc_id long, source string, lang string, tokens long, chars long").withColumn("tokenizer_version", F.lit(version))
+    return rows.transform(common.in_arrow, _counting(tokenizer_json, ranks), "doc_id long, source string, lang string, tokens long, chars long").withColumn("tokenizer_version", F.lit(version))
 
 
 def inserts(counts: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, a hash of the text by which its row can be found again, and the fingerprint as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return rows.transform(common.in_arrow, _fingerprints, "doc_id long, text_hash long, fp long")
 
 
 class Forest:
@@ -225,7 +225,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, tree: int = TR
     ))
     keyed = dealt.select(F.explode(met).alias("m"), "fp").select("m.key", "m.asks", "fp")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_spanning(radius), "a long, b long").distinct()
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").transform(common.in_arrow, _spanning(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -200,7 +200,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """``page_id``, ``sha`` and ``refers_to`` of the pages that are to be revisits, each once."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_digests, "page_id long, n long, sha string").where(F.col("n") >= least)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).transform(common.in_arrow, _digests, "page_id long, n long, sha string").where(F.col("n") >= least)
     rows = common.stash(rows, "digests")
     largest = rows.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.min(F.coalesce("page_id", F.lit(-(2**63)))).alias("low"), F.count(F.lit(1)).alias("n"))
     largest = common.stash(largest.where("refers_to is not null and low < refers_to").drop("low"), "largest")
@@ -258,9 +258,9 @@ def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PA
     """Write all pages as packages under ``folder``; the manifest, ``package`` and ``records``, is a written table."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     again = common.stash(revisits(rows, least).select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), "refers_to"), "revisits")
-    packed = rows.mapInArrow(_payloads, "page_id long, url string, payload binary, sha string")
+    packed = rows.transform(common.in_arrow, _payloads, "page_id long, url string, payload binary, sha string")
     typed = packed.join(again, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left")
-    return common.stash(typed.select("page_id", "url", "payload", "sha", F.col("__sha").isNotNull().alias("revisit"), "refers_to").mapInArrow(_writing(folder, package_bytes), "package string, records long"), "manifest")
+    return common.stash(typed.select("page_id", "url", "payload", "sha", F.col("__sha").isNotNull().alias("revisit"), "refers_to").transform(common.in_arrow, _writing(folder, package_bytes), "package string, records long"), "manifest")
 
 
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,4 +286,4 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(manifest: DataFrame) -> DataFrame:
     """A row per record of the packages that the manifest names."""
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("package").repartition(parts, "package").mapInArrow(_reading, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return manifest.select("package").repartition(parts, "package").transform(common.in_arrow, _reading, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
