@@ -223,13 +223,13 @@ def _verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     near = pairs.where("a <> b").distinct()
     for k in ("a", "b"):
         near = near.join(bits.select(F.col("root").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
-    near = common.stash(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").transform(common.in_arrow, _near_parities, "a long, b long"), "near-parities")
+    near = common.stash(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").transform(common.in_arrow, _near_parities, "a long, b long").transform(common.gathered), "near-parities")
     ends = near.select(F.explode(F.array("a", "b")).alias("root")).distinct().join(bits.select("root", "text_hash"), "root")
     ends = texts.join(common.stash(ends, "ends"), "text_hash").dropDuplicates(["root"]).select("root", "text")
     ends = common.stash(ends.transform(common.in_arrow, _whole, "root long, own binary"), "whole-sets")
     near = near.join(ends.select(F.col("root").alias("a"), F.col("own").alias("own_a")), "a")
     near = near.repartition(parts, "b").join(ends.select(F.col("root").alias("b"), F.col("own").alias("own_b")), "b")
-    return common.stash(near.select("a", "b", "own_a", "own_b").transform(common.in_arrow, _near_sets, "a long, b long"), "links")
+    return common.stash(near.select("a", "b", "own_a", "own_b").transform(common.in_arrow, _near_sets, "a long, b long").transform(common.gathered), "links")
 
 
 def _by_fingerprint(bits: DataFrame, radius: int) -> DataFrame:
@@ -285,7 +285,7 @@ def near_copies(docs: DataFrame, small: int = SMALL, radius: int = simhash.RADIU
         pairs, left = _apart(open_, crowded, leaders)
         rest = open_.join(F.broadcast(crowded), "token", "left_anti").select("token", "node", "n", "comp")
         rest = rest.repartition(parts, "token").sortWithinPartitions("token", "node")
-        met = common.stash(rest.transform(common.in_arrow, _meeting(leaders, small), "token long, a long, b long"), "candidates")
+        met = common.stash(rest.transform(common.in_arrow, _meeting(leaders, small), "token long, a long, b long").transform(common.gathered), "candidates")
         found = _verified(met.where("token is null").select("a", "b").union(pairs), bits, texts)
         if not found.isEmpty():
             roots = simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))

@@ -36,6 +36,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in as few partitions as its size asks for (the adaptive plan decides), before it is written. A step that runs
+    in many tasks and returns few rows would else leave a small file of each, and on a local file system an executor starts
+    a process of its own for every file and folder it makes."""
+    return df.hint("rebalance")
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and what a lost executor had is
     still there for the others."""

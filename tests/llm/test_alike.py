@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from labeldates.llm import alike, simhash
 from tests.llm.test_text_operators import reference_fingerprint
@@ -77,3 +78,18 @@ def test_large_groups_in_rounds(spark, monkeypatch):
         for r in alike.near_copies(df, small=3, crowd=crowd).collect():
             of.setdefault(r["root"], []).append(r["doc_id"])
         assert {i: min(x) for x in of.values() for i in x} == want
+
+
+def test_written_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """Steps that return few rows from many tasks don't leave a file of each task."""
+    monkeypatch.setattr(alike.common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(list(made().items()), "doc_id long, text string")
+        assert alike.near_copies(df).count() == len(made())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    files = Counter({p.name: len(list(p.glob("*.parquet"))) for p in tmp_path.iterdir()})
+    assert {name.rsplit("-", 1)[0] for name in files} >= {"candidates", "near-parities", "links"}
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
