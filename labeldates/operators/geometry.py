@@ -137,9 +137,9 @@ def detector_line(cls: Column, box: Column) -> Column:
 
 def hash_bits(pixels: Column) -> Column:
     """Average hash of grey values: four 64-bit words, bit ``k`` of the whole set if value ``k`` is above the mean."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda acc, p: acc + p) / F.size(pixels)
-    word = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(F.when(F.get(pixels, k + 64 * j) > mean, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint"))))
-    return F.array(*[word(j) for j in range(4)])
+    mean = lambda p: F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x) / F.size(p)
+    word = lambda p, m, j: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(F.when(F.get(p, k + 64 * j) > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint"))))
+    return bind(pixels, lambda p: bind(mean(p), lambda m: F.array(*[word(p, m, j) for j in range(4)])))
 
 
 def hamming(a: Column, b: Column) -> Column:

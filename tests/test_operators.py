@@ -130,3 +130,12 @@ def test_selection(spark):
     kept = sampling.accepted_in_order(df, 50)
     assert len(kept) == 50 and all((hashes[a] ^ hashes[b]).bit_count() > 20 for a in kept for b in kept if a != b)
     assert sampling.far_from(df.where("image_id >= 40"), df.where("image_id < 40")).count() == 16
+
+
+def test_hash_bits_take_values_once(spark):
+    """Not again for each of the 256 bits, however the values come about."""
+    assert str(geometry.hash_bits(F.col("grey"))).count("grey") == 1
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((F.col("id") * 31 + i * i * 7) % 256).cast("double"))
+    for r in spark.range(50).select("id", geometry.hash_bits(pixels).alias("h")).collect():
+        x = [(r["id"] * 31 + i * i * 7) % 256 for i in range(256)]
+        assert [w % 2**64 for w in r["h"]] == [sum((x[64 * j + k] > sum(x) / 256) << k for k in range(64)) for j in range(4)]
