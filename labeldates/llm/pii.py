@@ -97,7 +97,7 @@ SENTENCES = (
     "Tel. {national} {w}", "Telefon : {national}", "ruf {national} an", "unter {national} oder {email}", "Handy {national} .", "die Nummer {national} {w}", "E-Mail : {written}", "schreib an {written} {w}", "Karte {card} {w}", "Kartennummer {card} .", "im Jahr {n4} waren es {n2} {W}", "Rechnung {n8} vom {date}", "Seite {n2} von {n3}", "{W} {w} {w} {n3} {W} .", "ISBN {isbn} {w}",
     "Tél. {national} {w}", "téléphone : {national}", "appelez le {national} {w}", "au {national} ou {email}", "portable {national} .", "mon numéro est le {national}", "courriel : {written}", "écrivez à {written} {w}", "carte {card} {w}", "en {n4} il y avait {n2} {w}", "facture {n8} du {date}", "page {n2} sur {n3}", "{w} {w} de {n3} {w} {n1} .",
     "Tel. {national} {w}", "teléfono : {national}", "llame al {national} {w}", "móvil {national} o {email}", "mi número es {national} .", "correo : {written}", "escriba a {written} {w}", "tarjeta {card} {w}", "en el año {n4} hubo {n2} {w}", "factura {n8} del {date}", "página {n2} de {n3}", "{w} {w} {n3} {w} y {n2} .",
-    "{national}", "call {national} now", "please call {national} {w}", "{w} {w} {big} {w} {w}", "{w} {big} {w} in {n4}", "{n2} {n2} {n2} {w}", "{n4} {n4} {w}", "{w} {n1} {n2} {n3} {w}", "{n5} {w} {n5}", "{w} at {w} at {w} dot",
+    "{national}", "call {national} now", "please call {national} {w}", "{w} {w} {big} {w} {w}", "{w} {big} {w} in {n4}", "{n2} {n2} {n2} {w}", "{n2} {n1}.5 {n2} {n2} {n2} {w}", "{n2} {n2} {n1}.5 {w} {n1}.5", "{n4} {n4} {w}", "{w} {n1} {n2} {n3} {w}", "{n5} {w} {n5}", "{w} at {w} at {w} dot",
 )
 
 
@@ -191,8 +191,20 @@ def _ids(shapes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([shapes, *(near[k] + size * (i + 1) for i, k in enumerate((-2, -1, 1, 2))), pair(near[-1], shapes) + 5 * size, pair(shapes, near[1]) + 6 * size], axis=1)
 
 
-def train(copies: int = 9) -> crf.Crf:
-    rows, shapes = labelled(copies), Shapes()
+def chained(rows: list[tuple[list[str], list[int]]], seed: int = 6) -> list[tuple[list[str], list[int]]]:
+    """The rows in another order, up to six of them joined: a text is read as one chain, so the model must see what follows
+    a number or an address other than the end."""
+    rng, out, at = np.random.default_rng(seed), [], 0
+    order = rng.permutation(len(rows))
+    while at < len(order):
+        part = [rows[k] for k in order[at : at + int(rng.integers(1, 7))]]
+        out.append(([w for words, _ in part for w in words], [x for _, labels in part for x in labels]))
+        at += len(part)
+    return out
+
+
+def train(copies: int = 18) -> crf.Crf:
+    rows, shapes = chained(labelled(copies)), Shapes()
     lengths = np.array([len(w) for w, _ in rows])
     flat = np.array([shapes[w] for words, _ in rows for w in words])
     model = crf.train(_ids(flat, lengths), lengths, np.array([x for _, labels in rows for x in labels]), 7 * Shapes.SIZE, len(LABELS))
@@ -203,6 +215,9 @@ def train(copies: int = 9) -> crf.Crf:
 CARD_GROUPS = re.compile(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}")
 # An address has a sign for "at" and letters on both sides, in whatever notation.
 AT_SIGN = re.compile(r"@|(?<![^\W_])(?:at|arobase|arroba)(?![^\W_])", re.I)
+# Two signs side by side ("dot dot", "at dot") stand in no address.
+_SIGN = r"(?<![^\W_])(?:at|arobase|arroba|dot|punkt|point|punto)(?![^\W_])"
+SIGNS_MEET = re.compile(rf"{_SIGN}[)\]]?\s+[(\[]?{_SIGN}", re.I)
 _WORD = re.compile(r"\S+")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'|*#$%&,;:!?[{<", "\"'|*#$%&,;:!?.]}>"
 
@@ -246,7 +261,7 @@ def pieces(kind: str, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
     digits = sum(c.isdigit() for c in found)
     if kind == "email":
         sign = AT_SIGN.search(found)
-        return [(kind, a, b)] if sign and any(map(str.isalpha, found[: sign.start()])) and any(map(str.isalpha, found[sign.end() :])) else []
+        return [(kind, a, b)] if sign and not SIGNS_MEET.search(found) and any(map(str.isalpha, found[: sign.start()])) and any(map(str.isalpha, found[sign.end() :])) else []
     least, most = {"ip": (4, 16), "card": (13, 19), "phone": (9, 15)}[kind]
     if " " in found and (digits > most or kind == "card" and not CARD_GROUPS.fullmatch(found)):  # several numbers in a row
         return [x for m in _WORD.finditer(found) for x in pieces(kind, text, a + m.start(), a + m.end())]

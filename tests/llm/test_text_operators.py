@@ -296,6 +296,20 @@ def test_model_adds_what_patterns_miss(reader):
     assert not [e for _, e in pii.spans(reader, clean, pii.Shapes()) if e]
 
 
+def test_spans_inside_a_text(reader):
+    """Held-out rows one after the other in one chain: runs of a label begin and end where they should."""
+    def runs(labels):
+        cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(labels)]
+        return {(i, j, labels[i]) for i, j in zip(cuts, cuts[1:], strict=False) if labels[i]}
+
+    rows, shapes = pii.labelled(3, seed=98), pii.Shapes()
+    random.Random(15).shuffle(rows)
+    n = np.array([sum(len(words) for words, _ in rows)])
+    ids = pii._ids(np.array([shapes[w] for words, _ in rows for w in words]), n)
+    want, got = runs(np.array([x for _, labels in rows for x in labels])), runs(reader.viterbi(reader.emissions(ids), n))
+    assert len(want & got) > 0.87 * len(want) and len(want & got) > 0.93 * len(got), (len(want), len(got), len(want & got))
+
+
 def test_scan_and_mask(spark, documents, reader):
     got = {r["doc_id"]: r for r in pii.scan(documents, reader).collect()}
     assert (got[5]["n_email"], got[5]["n_phone"], got[5]["n_ip"], got[5]["n_card"]) == (1, 1, 1, 0) and got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
