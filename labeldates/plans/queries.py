@@ -15,7 +15,7 @@ from ..functions import dates, textnorm
 from ..functions.spans import bind
 
 from ..imaging import TextProvider, stage_texts
-from ..lineage import spread
+from ..lineage import once, spread
 from ..operators import candidates, cascade, choose, evaluation, geometry, layers, quality, sampling
 from ..operators.layers import read_dates
 from ..sources import images as image_source
@@ -44,7 +44,12 @@ def query(name: str, sql: str | None = None):
 
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem").select(*KEYS, F.add_months(F.col("l_shipdate").cast("date"), SHIFT).alias("day")))
+    return table(spark, sf_dir, "lineitem").select(*KEYS, F.add_months(F.col("l_shipdate").cast("date"), SHIFT).alias("day"))
+
+
+def read_texts(texts: DataFrame, **how) -> DataFrame:
+    """``read_dates`` of a table with ``text``, each distinct text read once."""
+    return once(texts, ("text",), lambda t: read_dates(t, **how))
 
 
 def parts(df: DataFrame, *keys: str) -> DataFrame:
@@ -56,7 +61,7 @@ def read_back(template: str, crop: bool = False, other: Callable[[Column], Colum
         rows = shipped(spark, sf_dir)
         day = F.col("day")
         texts = rows.select(*KEYS, notation.label(template, day, other(day) if other else None, N=F.col("l_linenumber")).alias("text"))
-        return parts(read_dates(texts, crop=crop), *KEYS)
+        return parts(read_texts(texts, crop=crop), *KEYS)
 
     return run
 
