@@ -165,7 +165,7 @@ def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT l_orderkey, l_linenumber, year(e)::INTEGER AS y, month(e)::INTEGER AS m, day(e)::INTEGER AS d FROM (SELECT *, CAST(day + INTERVAL 7 MONTH AS DATE) AS e FROM p))""")
 def q_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = notation.label("제조일자 {Y}.{M}.{D} 제조일로부터 7개월 하단 표기 참조하세요 소비기한 {Y2}.{M2}.{D2}", F.col("day"), F.add_months("day", 7))
-    rows = shipped(spark, sf_dir).select(*KEYS, text.alias("text")).withColumn("e", choose.diagnosis(F.col("text")))
+    rows = once(shipped(spark, sf_dir).select(*KEYS, text.alias("text")), ("text",), lambda t: t.withColumn("e", choose.diagnosis(F.col("text"))))
     return rows.select(*KEYS, F.size("e.candidates").alias("candidates"), F.col("e.candidates")[0]["kind"].alias("first_kind"), F.col("e.candidates")[1]["kind"].alias("second_kind"), "e.has_relative_expr", "e.has_reference_phrase", "e.result.y", "e.result.m", "e.result.d")
 
 
@@ -257,8 +257,8 @@ ELSEWHERE = ("상단 표기", "상단에 기재", "상단 별도", "하단 표
 def q_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.get(F.array(*map(F.lit, ELSEWHERE)), (F.col("o_orderkey") % len(ELSEWHERE)).cast("int"))
     period = F.get(F.array(*map(F.lit, (" 구입 후 12개월 이내", " 구입 후 사용", " 제조일자"))), (F.col("o_orderkey") % 3).cast("int"))
-    found = choose.diagnosis(F.concat(F.lit("소비기한 "), phrase, period))
-    return table(spark, sf_dir, "orders").select("o_orderkey", found["has_reference_phrase"].alias("has_reference_phrase"), found["has_relative_expr"].alias("has_relative_expr"))
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("소비기한 "), phrase, period).alias("text"))
+    return once(texts, ("text",), lambda t: t.withColumn("e", choose.diagnosis(F.col("text")))).select("o_orderkey", "e.has_reference_phrase", "e.has_relative_expr")
 
 
 # --- geometry
