@@ -122,17 +122,17 @@ query("q_k9_relative_weeks", f"{DAYS}, q AS (SELECT l_orderkey, l_linenumber, CA
 query("q_k13_month_day", same("NULL::INTEGER AS y, m, d"))(read_back("소비기한 {M}.{D}"))
 query("q_l9_lone_month_day", same("NULL::INTEGER AS y, m, d"))(read_back("{M}/{D} 까지"))
 query("q_l9_not_asked", same("NULL::INTEGER AS y, NULL::INTEGER AS m, NULL::INTEGER AS d"))(
-    lambda spark, sf_dir: parts(read_dates(shipped(spark, sf_dir).select(*KEYS, notation.label("{M}/{D} 까지", F.col("day")).alias("text")), rescue=False), *KEYS)
+    lambda spark, sf_dir: parts(read_texts(shipped(spark, sf_dir).select(*KEYS, notation.label("{M}/{D} 까지", F.col("day")).alias("text")), rescue=False), *KEYS)
 )
 SPLIT = same("y, CASE WHEN m >= 11 THEN 1 ELSE m END::INTEGER AS m, CASE WHEN m = 11 THEN 1 WHEN m = 12 THEN 2 END::INTEGER AS d")
 query("q_c2_month_split", SPLIT)(read_back("EXP {Y}.{M}"))
 query("q_l8_colon", SPLIT)(read_back("유효기간 {Y}:{M} 제품"))
 query("q_l8_month_first", same("y, m, NULL::INTEGER AS d"))(read_back("유효기간 {M}/{Y}"))
 query("q_v1_implausible_bare", "SELECT l_orderkey, l_linenumber, NULL::INTEGER AS y, NULL::INTEGER AS m, NULL::INTEGER AS d FROM lineitem")(
-    lambda spark, sf_dir: parts(read_dates(spread(table(spark, sf_dir, "lineitem")).select(*KEYS, notation.label("{Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
+    lambda spark, sf_dir: parts(read_texts(table(spark, sf_dir, "lineitem").select(*KEYS, notation.label("{Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
 )
 query("q_v1_implausible_labelled", "SELECT l_orderkey, l_linenumber, NULL::INTEGER AS y, month(l_shipdate)::INTEGER AS m, day(l_shipdate)::INTEGER AS d FROM lineitem")(
-    lambda spark, sf_dir: parts(read_dates(spread(table(spark, sf_dir, "lineitem")).select(*KEYS, notation.label("유통기한 {Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
+    lambda spark, sf_dir: parts(read_texts(table(spark, sf_dir, "lineitem").select(*KEYS, notation.label("유통기한 {Y}.{M}.{D}", F.col("l_shipdate")).alias("text"))), *KEYS)
 )
 
 
@@ -142,14 +142,14 @@ def misread(day: Column) -> Column:
 
 @query("q_n5_confusions", same())
 def q_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(read_dates(shipped(spark, sf_dir).select(*KEYS, misread(F.col("day")).alias("text"))), *KEYS)
+    return parts(read_texts(shipped(spark, sf_dir).select(*KEYS, misread(F.col("day")).alias("text"))), *KEYS)
 
 
 @query("q_n5_confusions_stolen", f"""{DAYS} SELECT l_orderkey, l_linenumber, CASE WHEN NOT stolen THEN y END::INTEGER AS y, CASE WHEN stolen THEN m % 10 ELSE m END::INTEGER AS m,
         CASE WHEN NOT stolen THEN d WHEN d IN (20, 21) THEN 2 WHEN d >= 30 THEN 3 ELSE d END::INTEGER AS d
         FROM (SELECT *, (m BETWEEN 2 AND 9 OR m = 12) AND d >= 20 AS stolen FROM p)""")
 def q_confusions_stolen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(read_dates(shipped(spark, sf_dir).select(*KEYS, F.concat(F.lit("소비기한 "), misread(F.col("day"))).alias("text"))), *KEYS)
+    return parts(read_texts(shipped(spark, sf_dir).select(*KEYS, F.concat(F.lit("소비기한 "), misread(F.col("day"))).alias("text"))), *KEYS)
 
 
 @query("q_k14_submission", f"""{DAYS} SELECT CAST(l_orderkey AS VARCHAR) AS image_id, CASE WHEN l_linenumber % 3 = 2 THEN 'NONE' ELSE lpad(y::VARCHAR, 4, '0') END AS year, CASE WHEN l_linenumber % 3 = 1 AND m = 0 THEN 'NONE' ELSE lpad(m::VARCHAR, 2, '0') END AS month,
@@ -158,7 +158,7 @@ def q_confusions_stolen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("day")
     text = F.when(F.col("l_linenumber") % 3 == 0, notation.label("{Y}.{M}.{D}", day)).when(F.col("l_linenumber") % 3 == 1, notation.label("EXP {M}/{Y}", day)).otherwise(notation.label("소비기한 {M}.{D}", day))
-    return layers.submission(read_dates(shipped(spark, sf_dir).select(F.col("l_orderkey").alias("image_id"), text.alias("text"))))
+    return layers.submission(read_texts(shipped(spark, sf_dir).select(F.col("l_orderkey").alias("image_id"), text.alias("text"))))
 
 
 @query("q_k15_diagnosis", f"""{DAYS} SELECT l_orderkey, l_linenumber, 2::INTEGER AS candidates, 'MFG' AS first_kind, 'EXP' AS second_kind, TRUE AS has_relative_expr, TRUE AS has_reference_phrase, y, m, d

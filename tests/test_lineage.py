@@ -29,7 +29,7 @@ def repeated(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name, texts", [("q_c1_ymd", 7), ("q_l5_glued_8", 7), ("q_l8_named", 2), ("q_k5_made_and_expiry", 7), ("q_k15_diagnosis", 7)])
+@pytest.mark.parametrize("name, texts", [("q_c1_ymd", 7), ("q_l5_glued_8", 7), ("q_l8_named", 2), ("q_k5_made_and_expiry", 7), ("q_k15_diagnosis", 7), ("q_v1_implausible_labelled", 7)])
 def test_each_distinct_text_is_read_once(spark, stashed, repeated, name, texts):
     rows = queries.QUERIES[name](spark, repeated).collect()
     assert stashed == {"once": [texts]} and len({r["l_orderkey"] for r in rows}) == len(rows) == 3000
