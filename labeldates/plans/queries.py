@@ -172,7 +172,7 @@ def q_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_c20_spans", f"{DAYS} SELECT l_orderkey, l_linenumber, 8::INTEGER AS first_start, 18::INTEGER AS first_end, 25::INTEGER AS second_start, 35::INTEGER AS second_end FROM p")
 def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = notation.label("😀 제조일자: {Y}.{M}.{D} 소비기한 :{D}/{M}/{Y}", F.col("day"))
-    rows = shipped(spark, sf_dir).select(*KEYS, candidates.full_dates(text).alias("c"))
+    rows = once(shipped(spark, sf_dir).select(*KEYS, text.alias("text")), ("text",), lambda t: t.withColumn("c", candidates.full_dates(F.col("text"))))
     return rows.select(*KEYS, F.col("c")[0]["start"].alias("first_start"), F.col("c")[0]["end"].alias("first_end"), F.col("c")[1]["start"].alias("second_start"), F.col("c")[1]["end"].alias("second_end"))
 
 

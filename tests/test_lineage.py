@@ -50,3 +50,8 @@ def test_once_gives_what_the_work_on_every_row_gives(spark, monkeypatch, sent):
         assert sorted(map(str, got.collect())) == sorted(map(str, read_dates(rows, crop="crop").select(got.columns).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_spans_are_found_once_a_text(spark, stashed, repeated):
+    rows = queries.QUERIES["q_c20_spans"](spark, repeated).collect()
+    assert stashed == {"once": [7]} and len(rows) == 3000 and {tuple(r)[2:] for r in rows} == {(8, 18, 25, 35)}
