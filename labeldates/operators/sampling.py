@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.textnorm import padded
-from .geometry import hamming
 
 NEAR_BITS = 20
 
@@ -64,37 +63,84 @@ def present(pool: DataFrame, files: DataFrame, key: str = "image_id") -> DataFra
     return ids(pool).join(ids(files), key, "left_semi")
 
 
-def banded(rows: DataFrame, bits: int, bands: int) -> DataFrame:
-    """A row for every band of its hash: ``bits`` bits (a whole number of words) cut into ``bands``."""
-    words = bits // 64
-    text = F.concat(*[F.lpad(F.bin(F.get(F.col("h"), F.lit(i))), 64, "0") for i in range(words)])
-    cuts = [round(i * bits / bands) for i in range(bands + 1)]
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring(text, a + 1, b - a).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    return rows.select("*", F.explode(keys).alias("band"))
+#: Rows of a block, and the comparisons that are held at once.
+BLOCK, HELD = 8192, 1 << 17
 
 
-def near_pairs(left: DataFrame, right: DataFrame, most: int = NEAR_BITS, bits: int = 256, key: str = "image_id") -> DataFrame:
-    """Pairs of hashes (``h: array<bigint>``) within ``most`` bits: ``left_id, right_id, distance``.
+def _blocks(rows: DataFrame, side: str, key: str, n: int, words: int) -> DataFrame:
+    """``rows`` dealt into ``n`` blocks by their ids: a row per block with ids in order and the words of their hashes."""
+    whole = rows.select(F.col(key).alias("id"), F.slice("h", 1, words).alias("h")).where((F.size("h") == words) & ~F.exists("h", lambda w: w.isNull()))
+    dealt = whole.distinct().groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{side}_block")).agg(F.array_sort(F.collect_list(F.struct("id", "h"))).alias("rows"))
+    return dealt.select(f"{side}_block", F.col("rows.id").alias(f"{side}_ids"), F.flatten("rows.h").alias(f"{side}_words"))
+
+
+def _compare(most: int, words: int, nearest: bool, schema):
+    """Two blocks a row, every hash of one against every of the other; a batch of pairs for each group of hashes."""
+
+    def compared(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = lambda column, i: np.asarray(column[i].values).astype(np.int64, copy=False).view(np.uint64).reshape(-1, words)
+        for batch in batches:
+            of = {n: batch.column(n) for n in ("left_ids", "left_words", "right_ids", "right_words")}
+            for i in range(batch.num_rows):
+                left_ids, right_ids = of["left_ids"][i].values, of["right_ids"][i].values
+                left, right = hashes(of["left_words"], i), np.ascontiguousarray(hashes(of["right_words"], i).T)
+                step = max(1, HELD // right.shape[1])
+                for at in range(0, len(left), step):
+                    part = left[at : at + step]
+                    bits = np.bitwise_count(part[:, :1] ^ right[0])
+                    for w in range(1, words):
+                        bits = np.add(bits, np.bitwise_count(part[:, w : w + 1] ^ right[w]), dtype=np.uint16)
+                    if nearest:  # the first of equal ones: ids are in order
+                        best = bits.argmin(axis=1)
+                        a = np.flatnonzero(bits[np.arange(len(part)), best] <= most)
+                        b = best[a]
+                    else:
+                        a, b = np.nonzero(bits <= most)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([left_ids.take(pa.array(a + at)), right_ids.take(pa.array(b)), pa.array(bits[a, b].astype(np.int32))], schema=schema)
+
+    return compared
 
-    Cut into ``most + 1`` bands, two such hashes agree on at least one whole band, so an equi-join by band finds all of
-    them; the distance is checked after it and each pair kept once.
+
+def _near(left: DataFrame, right: DataFrame, most: int, bits: int, key: str, nearest: bool) -> DataFrame:
+    """Pairs of hashes within ``most`` bits, or for each left one and block the nearest.
+
+    Every hash is compared with every other: at such distances an index by bands leaves much of all pairs (for 64 bits and
+    12, two fifths) and makes a row of each. Here a comparison is a few machine instructions and only what is near becomes a
+    row. Blocks have a fixed size, so a task holds two of them, however many rows or equal hashes there are.
     """
-    bands = most + 1
-    a = banded(left.select(F.col(key).alias("left_id"), "h"), bits, bands).withColumnRenamed("h", "ha")
-    b = banded(right.select(F.col(key).alias("right_id"), "h"), bits, bands).withColumnRenamed("h", "hb")
-    pairs = a.join(b, "band").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
-    return pairs.select("left_id", "right_id", "distance").distinct()
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    words = bits // 64
+    n, m = (max(1, -(-side.count() // BLOCK)) for side in (left, right))
+    a = _blocks(left, "left", key, n, words).withColumn("right_block", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    b = _blocks(right, "right", key, m, words).withColumn("left_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tasks = min(n * m, 16 * left.sparkSession.sparkContext.defaultParallelism)
+    deal = lambda df: df.repartition(tasks, "left_block", "right_block")
+    schema = StructType([StructField("left_id", left.schema[key].dataType), StructField("right_id", right.schema[key].dataType), StructField("distance", IntegerType())])
+    both = deal(a).join(deal(b).hint("merge"), ["left_block", "right_block"]).select("left_ids", "left_words", "right_ids", "right_words")
+    return both.mapInArrow(_compare(most, words, nearest, to_arrow_schema(schema)), schema)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, most: int = NEAR_BITS, bits: int = 256, key: str = "image_id") -> DataFrame:
+    """Pairs of hashes (``h: array<bigint>``, ``bits`` a whole number of words) within ``most`` bits, each once:
+    ``left_id, right_id, distance``."""
+    return _near(left, right, most, bits, key, False).distinct()
 
 
 def far_from(pool: DataFrame, used: DataFrame, most: int = NEAR_BITS, bits: int = 256, key: str = "image_id") -> DataFrame:
     """Pool rows whose hash is near to none of the used ones."""
-    near = near_pairs(pool, used, most, bits, key).select(F.col("left_id").alias(key)).distinct()
+    near = _near(pool, used, most, bits, key, True).select(F.col("left_id").alias(key)).distinct()
     return pool.join(near, key, "left_anti")
 
 
 def nearest_used(pool: DataFrame, used: DataFrame, most: int = NEAR_BITS, bits: int = 256, key: str = "image_id") -> DataFrame:
     """For each pool row that is near to a used one, the nearest and its distance."""
-    return near_pairs(pool, used, most, bits, key).groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("m")).select(F.col("left_id").alias(key), F.col("m.right_id").alias("near_id"), F.col("m.distance").alias("distance"))
+    return _near(pool, used, most, bits, key, True).groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("m")).select(F.col("left_id").alias(key), F.col("m.right_id").alias("near_id"), F.col("m.distance").alias("distance"))
 
 
 def accepted_in_order(pool: DataFrame, n: int, most: int = NEAR_BITS, bits: int = 256, key: str = "image_id", seed: int = 42) -> list:
