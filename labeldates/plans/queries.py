@@ -613,7 +613,8 @@ def q_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_s13_appended", "SELECT 'cust_' || lpad((c + row_number() OVER (ORDER BY src))::VARCHAR, 4, '0') AS image_id, src AS src_file FROM (SELECT 'f' || lpad(doc_id::VARCHAR, 9, '0') AS src, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS c FROM documents WHERE doc_id % 2 = 1)")
 def q_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("src_file"))
-    have = docs.where("doc_id % 2 = 0").select("src_file", F.concat(F.lit("cust_"), F.lpad((F.col("doc_id") / 2 + 1).cast("long").cast("string"), 4, "0")).alias("image_id"))
+    number = (F.col("doc_id") / 2 + 1).cast("long").cast("string")  # four digits at least: ``lpad`` alone would cut longer ones
+    have = docs.where("doc_id % 2 = 0").select("src_file", F.concat(F.lit("cust_"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("image_id"))
     return tables.appended(have, docs.select("src_file"))
 
 

@@ -93,3 +93,12 @@ def test_stream(spark, tmp_path):
     stream.start(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert {r["image_id"]: r["final_date"] for r in stream.best_so_far(spark, str(tmp_path / "out")).collect()} == {"a": "2026-01-03", "b": "NONE-02-18"}
     assert read_dates(source).isStreaming
+
+
+def test_appended_ids_go_on_past_four_digits(spark, tmp_path):
+    """The register of the query has 10,005 ids, the last cust_10005; new ones are not cut to four digits either."""
+    from labeldates.plans import queries
+
+    spark.range(20_010).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["image_id"] for r in queries.QUERIES["q_s13_appended"](spark, str(tmp_path)).orderBy("src_file").collect()]
+    assert got == [f"cust_{n}" for n in range(10_006, 20_011)]
